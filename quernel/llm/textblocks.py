@@ -147,9 +147,9 @@ def anchors(grams: np.ndarray, first: np.ndarray, window: int, gram: int) -> tup
     if not len(starts):
         e = np.zeros(0, np.int64)
         return e, e, e, e
-    bits = U64(max(1, int(len(grams)).bit_length()))
-    packed = (grams >> bits << bits) | np.arange(len(grams), dtype=U64)
-    pos = (sliding_min(packed, window - gram + 1)[starts] & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    # 32 bits of hash, then the position: leftmost of equals, whatever the block's length
+    packed = (grams >> U64(32) << U64(32)) | np.arange(len(grams), dtype=U64)
+    pos = (sliding_min(packed, window - gram + 1)[starts] & U64(0xFFFFFFFF)).astype(np.int64)
     cut = np.flatnonzero(np.r_[True, (pos[1:] != pos[:-1]) | (doc[1:] != doc[:-1])])
     return pos[cut], starts[cut], np.diff(np.r_[cut, len(starts)]), doc[cut]
 

@@ -72,6 +72,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replicated and shuffled documents."""
+    return mix(docs)
+
+
 ORACLE_SQL = f"""
 WITH RECURSIVE sizes AS (
   SELECT source, sum(coalesce(strlen(text), 0))::DOUBLE AS b FROM documents GROUP BY source),

@@ -7,7 +7,7 @@ the whole space, so some v is orthogonal to all of them and its table keeps none
 
 Only distinct fingerprints are hashed. A bucket of more than ``bucket_rows`` fingerprints is split by a second covering
 family on the positions that its table dropped, which again separates no linked pair; after that a bucket agrees on all
-but about a quarter of the positions, so its size is bounded whatever the input. Inside a bucket a breadth-first sweep finds the
+but about a quarter of the positions, so its size is bounded (2**16 or so) whatever the input. Inside a bucket a breadth-first sweep finds the
 connected groups and emits one link for each fingerprint to its group's least one, never the pairs. Components over
 all buckets come from iterated minima, as joins and aggregates.
 
@@ -30,6 +30,7 @@ from quernel.llm.components import components
 from quernel.llm.shared import materialize, table
 
 RADIUS = 4
+STAGE_RADIUS = 6
 ONES = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
 
 
@@ -168,7 +169,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = 20_000) -> Da
     out = bucket_links(kept.where("not big").select("t", "key", "fp"), radius)
     firsts = covering_masks(64, radius).tolist()
     second = F.create_map(*[x for i, m in enumerate(firsts) for x in (F.lit(i), F.array(*[F.lit(int(np.int64(np.uint64(y)))) for y in spread_masks(m, radius)]))])
-    split = kept.where("big").select(F.col("t").alias("t0"), "fp", F.posexplode(F.element_at(second, F.col("t"))).alias("j", "m")).select((F.col("t0") * 64 + F.col("j") + 64).alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
+    split = kept.where("big").select(F.col("t").alias("t0"), "fp", F.posexplode(F.element_at(second, F.col("t"))).alias("j", "m")).select((F.col("t0") * 4096 + F.col("j") + 4096).alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
     return out.unionAll(bucket_links(split, radius)).distinct()
 
 
@@ -190,12 +191,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one of least doc_id, and of equal ids the one of least text."""
+    """Keeps one document of each group: the one of least doc_id, and of equal ids the one of least text hash. Shingles
+    have five words; the radius is STAGE_RADIUS, since a similarity of 0.9 means about six to seven differing bits."""
     key = "__nd_row"
     keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")))
     marked = materialize(fingerprints(keyed.select(key, "text"), "text", key, 5))
     fps = materialize(marked.groupBy("fp").agg(F.min(key).alias("least")))
-    labels = components(materialize(links(fps.select("fp"))))
+    labels = components(materialize(links(fps.select("fp"), STAGE_RADIUS)))
     named = fps.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
     kept = named.groupBy("root").agg(F.min("least").alias(key)).select(key)
     chosen = keyed.join(kept, key, "left_semi")

@@ -12,7 +12,6 @@ from dataclasses import dataclass, field, replace
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from quernel.catalog import Column, Constraint, Enum, Sequence, State, Table, View
 from quernel.errors import AlreadyExists, CastProblem, NoFunction, NotSupported, QueryError, RelationNotFound, SyntaxProblem, TypeMismatch, from_spark
@@ -97,6 +96,7 @@ class Engine:
         self.interceptors: list[Callable] = []
         self.last_sequence: tuple[str, str] | None = None
         self.touched: set[tuple[str, str]] = set()
+        self.later: dict[str, str] = {}
 
     # ---- running
 
@@ -320,28 +320,46 @@ class Engine:
 
     def attach(self, name: str, df: DataFrame | str, primary: list[str] | None = None) -> None:
         """A read-only table over a DataFrame, or over a Parquet path that Spark opens."""
-        if isinstance(df, str):
-            df = self.spark.read.parquet(df)
+        df = self.spark.read.parquet(df) if isinstance(df, str) else self.adopted(df)
         cols = tuple(Column(f.name, from_spark_type(f.dataType)) for f in df.schema.fields)
         keys = (Constraint("primary", f"{name}_pkey", tuple(primary)),) if primary else ()
-        view = self.view_of(df if df.sparkSession is self.spark else self.spark.createDataFrame([], StructType([])))
-        self.state.put(Table("public", name, cols, keys, df=df, view=view, readonly=True), True)
+        self.state.put(Table("public", name, cols, keys, df=df, view=self.view_of(df), readonly=True), True)
+
+    def adopted(self, df: DataFrame) -> DataFrame:
+        """A DataFrame of another session of the same application, in this engine's session."""
+        if df.sparkSession._jsparkSession.equals(self.spark._jsparkSession):
+            return df
+        jvm = self.spark._jvm
+        return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.logicalPlan()), self.spark)
+
+    def attach_later(self, name: str, path: str) -> None:
+        """Like ``attach``, but the path is opened when a statement first names the table."""
+        self.later[name] = path
 
     def load(self, name: str, df: DataFrame, primary: list[str] | None = None) -> None:
         """A writable table that starts with the rows of a DataFrame, which stay where they are."""
         cols = tuple(Column(f.name, from_spark_type(f.dataType)) for f in df.schema.fields)
         keys = (Constraint("primary", f"{name}_pkey", tuple(primary)),) if primary else ()
-        self.create(Table("public", name, cols, keys), df)
+        self.create(Table("public", name, cols, keys), self.adopted(df))
+
+    def open_attached(self, name: str | None = None) -> None:
+        """Opens the attached path of a name, or all of them."""
+        for n in list(self.later) if name is None else [name]:
+            path = self.later.pop(n, None)
+            if path is not None and ("public", n) not in self.state.rels:
+                self.attach(n, path)
 
     def is_system(self, name: str) -> bool:
         return ("pg_catalog", name) in catalogs.names()
 
     def relation(self, schema: str | None, name: str, low: Lower) -> tuple[str, list[tuple[str, T]]]:
         if schema in ("pg_catalog", "information_schema") or schema is None and self.is_system(name):
+            self.open_attached()
             got = catalogs.relation(self, schema or "pg_catalog", name)
             if got is None:
                 raise RelationNotFound(f"relation {name!r} does not exist")
             return got
+        self.open_attached(name)
         r = self.state.find(schema, name)
         if r is None:
             raise RelationNotFound(f"relation {name!r} does not exist")

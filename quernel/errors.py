@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class QueryError(Exception):
     """A statement that cannot be run; ``code`` is its SQLSTATE."""
@@ -84,7 +86,9 @@ SPARK_CODES = {
 def from_spark(e: Exception) -> QueryError:
     """The engine's error for one that Spark raised."""
     name = e.getCondition() if hasattr(e, "getCondition") else None
-    text = str(e).split("\n")[0]
+    whole = str(e)
+    marked = re.search(r"\[[A-Z][A-Z_.]+\][^\n]*", whole)
+    text = marked[0] if marked else whole.split("\n")[0]
     if name == "USER_RAISED_EXCEPTION" or "[USER_RAISED_EXCEPTION]" in text:
         code, _, message = text.partition("] ")[2].partition("|")
         if message:

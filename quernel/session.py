@@ -733,8 +733,7 @@ class Prepared:
                     low.condition(n.where, scope_of(t, n.alias))
             elif n.kind in ("select", "setop", "values", "ordered", "with", "nested"):
                 cols = low.query(n).cols
-        count = max(low.param_types, default=0)
-        return [str(low.param_types.get(i + 1, TEXT)) for i in range(count)], [(c, str(t)) for c, t in cols]
+        return [str(low.param_types.get(i + 1, TEXT)) for i in range(low.param_count)], [(c, str(t)) for c, t in cols]
 
     def bind(self, args: list | None = None) -> Bound:
         return Bound(self.engine, self.text, list(args or []))

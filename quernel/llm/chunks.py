@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from quernel.llm import textblocks as tb
 from quernel.llm.shared import materialize
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def squeeze(a: np.ndarray) -> bytes:

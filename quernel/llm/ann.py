@@ -98,7 +98,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     """query_id, rank, vec_id, score: for each query row its k nearest rows found, its own excepted.
 
     ``is_query``: condition on a column ``id``. ``share``: the ascent stops when the trees together hold this many times
-    a block's rows under the current prefixes (rows under several trees count for each).
+    a block's rows under the current prefixes (rows under several trees count for each), and enough for k + 1 rows.
     """
     rows = materialize(usable(vectors, id_col, vector))
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -131,7 +131,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         items, queries = matrix(right), matrix(left)
         forest = Forest(items, trees, seed)
         ids = right.column("ids").to_pylist()
-        out = [(c, x, s) for c, (found, score) in zip(left.column("cls").to_pylist(), forest.search(queries, k + 1, max(k + 1, int(share * len(items)))), strict=True) for i, s in zip(found.tolist(), score.tolist(), strict=True) for x in ids[i]]
+        out = [(c, x, s) for c, (found, score) in zip(left.column("cls").to_pylist(), forest.search(queries, k + 1, max((k + 1) * trees, int(share * len(items)))), strict=True) for i, s in zip(found.tolist(), score.tolist(), strict=True) for x in ids[i]]
         # only the best k + 1 of a block can be among the best k of all but the query's own row
         best = pd.DataFrame(out, columns=["cls", "vec_id", "score"]).sort_values(["cls", "score", "vec_id"], ascending=[True, False, True]).groupby("cls").head(k + 1)
         return pa.Table.from_pandas(best, schema=schema, preserve_index=False)

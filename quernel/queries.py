@@ -110,7 +110,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "except_rows": ("select c_custkey from customer except select o_custkey from orders where o_totalprice > 500", None),
     "cte_chain": ("with a as (select o_custkey, count(*) as n from orders group by o_custkey), b as (select n, count(*) as customers from a group by n) select * from b", None),
     "cte_recursive": ("with recursive t(n, f) as (select 1, 1 union all select n + 1, f * 2 from t where n < 20) select n, f from t", None),
-    "values_inline": ("select * from (values (1, 'a', null), (2, 'b', 2.5), (3, null, 1)) as v(id, name, x)", "select id, name, x::decimal(11,1) as x from (values (1, 'a', null), (2, 'b', 2.5), (3, null, 1)) as v(id, name, x)"),
+    "values_inline": ("select * from (values (1, 'a', null), (2, 'b', 2.5), (3, null, 1)) as v(id, name, x)", "select id, name, x::decimal(2,1) as x from (values (1, 'a', null), (2, 'b', 2.5), (3, null, 1)) as v(id, name, x)"),
     "no_from": ("select 1 as a, 'x' as b, null::int as c, true as d", None),
     "int_division": ("select n_nationkey, (n_nationkey - 12) / 5 as q, (n_nationkey - 12) % 5 as r, n_nationkey / 2.0::float as h from nation", "select n_nationkey, ((n_nationkey - 12) // 5)::int as q, (n_nationkey - 12) % 5 as r, n_nationkey / 2.0::double as h from nation"),
     "arithmetic": ("select p_partkey, -p_size as neg, p_size * p_partkey as mul, p_retailprice - p_size as sub, p_size ^ 2 as sq from part", None),
@@ -119,7 +119,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
         "select event_id, " + ", ".join(f"extract({f} from ts) as f_{f}" for f in "year month day hour minute dow isodow week isoyear doy quarter decade century millennium second epoch milliseconds microseconds".split()) + " from events",
         "select event_id, " + ", ".join(f"extract({f} from ts)::int as f_{f}" for f in "year month day hour minute dow isodow week isoyear doy quarter decade century millennium".split()) + ", (extract(microseconds from ts) % 60000000) / 1e6 as f_second, extract(epoch from ts)::double as f_epoch, (extract(microseconds from ts) % 60000000) / 1e3 as f_milliseconds, (extract(microseconds from ts) % 60000000)::double as f_microseconds from events",
     ),
-    "string_fns": ("select p_partkey, lower(p_type) as l, upper(p_name) as u, concat(p_brand, '-', null, p_size) as c, concat_ws('/', p_brand, nullif(p_type, 'SMALL'), p_size::text) as w, length(p_name) as n, p_brand || p_type as cat, trim('  x ') as t, replace(p_type, 'S', 'z') as r from part", None),
+    "string_fns": ("select p_partkey, lower(p_type) as l, upper(p_name) as u, concat(p_brand, '-', null, p_size) as c, concat_ws('/', p_brand, nullif(p_type, 'SMALL'), p_size::text) as w, length(p_name) as n, p_brand || p_type as cat, trim('  x ') as t, replace(p_type, 'S', 'z') as r from part", "select p_partkey, lower(p_type) as l, upper(p_name) as u, concat(p_brand, '-', null, p_size) as c, concat_ws('/', p_brand, nullif(p_type, 'SMALL'), p_size::text) as w, length(p_name)::int as n, p_brand || p_type as cat, trim('  x ') as t, replace(p_type, 'S', 'z') as r from part"),
     "substring_overlay": ("select p_partkey, substring(p_name from 2 for 3) as a, substring(p_name, 4) as b, substring(p_name, -1, 4) as c, overlay(p_type placing '##' from 2 for 1) as o, position('A' in p_type) as p from part", "select p_partkey, substring(p_name, 2, 3) as a, substring(p_name, 4) as b, substring(p_name, 1, 2) as c, substring(p_type, 1, 1) || '##' || substring(p_type, 3) as o, instr(p_type, 'A')::int as p from part"),
     "greatest_least_coalesce": ("select n_nationkey, greatest(n_nationkey, n_regionkey * 5, null) as g, least(n_nationkey, 7) as l, coalesce(nullif(n_regionkey, 1), -1) as c from nation", None),
     "array_ops": ("select n_nationkey, (array[n_nationkey, n_regionkey, 7])[2] as second, (array[1, 2])[5] as beyond, array[n_regionkey] && array[1, 2] as overlap, n_regionkey = any(array[0, 3]) as among, array_length(array[1, 2, 3], 1) as n from nation", "select n_nationkey, n_regionkey as second, null::int as beyond, n_regionkey in (1, 2) as overlap, n_regionkey in (0, 3) as among, 3 as n from nation"),
@@ -129,7 +129,7 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "window_rank": ("select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn, rank() over (partition by o_orderstatus order by o_orderpriority) as rk, sum(o_custkey) over (partition by o_orderstatus) as s from orders where o_orderkey < 3000", "select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn, rank() over (partition by o_orderstatus order by o_orderpriority) as rk, (sum(o_custkey) over (partition by o_orderstatus))::bigint as s from orders where o_orderkey < 3000"),
     "record_value": ("select (n).n_name as name from nation n", "select n_name as name from nation"),
     "unnest_rows": ("select unnest(array[1, 2, 3]) as x", None),
-    "series": ("select g from generate_series(1, 10) as g", "select generate_series as g from generate_series(1, 10)"),
+    "series": ("select g from generate_series(1, 10) as g", "select generate_series::int as g from generate_series(1, 10)"),
     "distinct_from": ("select n_nationkey, nullif(n_regionkey, 1) is distinct from 2 as d from nation", None),
     "regex_match": ("select p_partkey from part where p_type ~ '^S' and p_type !~* 'ALL'", "select p_partkey from part where regexp_matches(p_type, '^S') and not regexp_matches(p_type, 'ALL', 'i')"),
     "information_schema": ("select table_name, column_name, ordinal_position, data_type from information_schema.columns where table_name = 'nation' order by ordinal_position", "select * from (values ('nation', 'n_nationkey', 1, 'int'), ('nation', 'n_name', 2, 'text'), ('nation', 'n_regionkey', 3, 'int')) as t(table_name, column_name, ordinal_position, data_type)"),

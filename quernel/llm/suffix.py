@@ -31,12 +31,12 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from quernel.llm import textblocks as tb
 from quernel.llm import windows
-from quernel.llm.chunks import Rows, exchange, expand, pack, squeeze, sub_blocks, total_size
+from quernel.llm.chunks import CHUNK, Rows, exchange, expand, pack, squeeze, sub_blocks, total_size
 from quernel.llm.shared import table
 from quernel.llm.sketch import estimate
 
-BLOCK = 2 << 20
-SHARD = 6 << 20  # bytes of contexts a shard gets on average, about
+BLOCK = 1 << 20
+SHARD = 2 << 20  # bytes of contexts a shard gets on average, about
 GRAM, FIRST = 64, 50
 HOT = 4096
 
@@ -80,7 +80,8 @@ def _blocks(batch: pa.RecordBatch, text: str, window: int, gram: int, shards: in
         two = (tb.Rolling(tb.byte_values(data, 4), 4).windows(window)[h] >> np.uint64(32)).astype(np.uint32) if len(h) else np.zeros(0, np.uint32)
         keep &= ~hot
         anchor, begin, count = anchor[keep], begin[keep], count[keep]
-        where = ((anchor >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        # anchors are least hashes, all small: mixed again before they are spread
+        where = ((tb.mix(anchor) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
         key = rolling.spans(begin, begin + count + window - 1)
         _, at, of, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(where[at], kind="stable")
@@ -93,15 +94,15 @@ def _blocks(batch: pa.RecordBatch, text: str, window: int, gram: int, shards: in
 def refine(text: np.ndarray, size: np.ndarray, owned: np.ndarray, window: int) -> np.ndarray:
     """Of contexts laid end to end, ``size`` bytes each: for each of their first ``owned`` positions, in order, whether
     the ``window`` bytes from there also start at another of these positions."""
-    ends = np.cumsum(size)
-    rest = np.repeat(ends, size) - np.arange(len(text))
+    ends = np.cumsum(size).astype(np.int32)
+    rest = np.repeat(ends, size) - np.arange(len(text), dtype=np.int32)
     start = spread(ends - size, owned)
-    first = min(FIRST, window)
-    names = tb.Rolling(tb.byte_values(text, 6), 6).windows(first)
+    depth = first = min(FIRST, window)
+    live = np.flatnonzero(rest >= first).astype(np.int32)
+    names = tb.Rolling(tb.byte_values(text, 6), 6).windows(first)[live]
     bucket = np.zeros(len(text), np.uint32)
-    live = np.flatnonzero(rest >= first)
-    depth = first
-    bucket[live], live = _name(names[live], live)
+    bucket[live], live = _name(names, live)
+    del names
     while depth < window and len(live):
         step = min(depth, window - depth)
         live = live[rest[live] >= depth + step]
@@ -151,13 +152,13 @@ def _combine(entries: list[bytes], window: int) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(back, np.cumsum(cuts)[:-1])]
 
 
-def remove_strings(docs: DataFrame, text: str = "text", window: int = 400, prefix: str = "") -> DataFrame:
+def remove_strings(docs: DataFrame, text: str = "text", window: int = 400, prefix: str = "", chunk_bytes: int = CHUNK) -> DataFrame:
     """All columns with n_bytes, spans (pairs of first and end byte of each removed run) and kept (the bytes left),
     named with ``prefix``; input columns of these names are replaced."""
     added = [f"{prefix}{x}" for x in ("n_bytes", "spans", "kept")]
     docs = docs.drop(*added)
     names, column, gram = docs.columns, f"c{docs.columns.index(text)}", min(GRAM, max(1, window // 4))
-    chunks = pack(docs, text)
+    chunks = pack(docs, text, chunk_bytes)
     shards = max(1, -(-total_size(chunks) // SHARD))
 
     def anchors(batch: pa.RecordBatch) -> np.ndarray:

@@ -107,9 +107,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     rows = rows.where(F.size("v") == lengths[0].n)
     # -0.0 and 0.0 are one value to inner products
     keyed = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
-    spread = F.array_sort(F.collect_set("id"))
-    salted = keyed.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("s")).agg(F.slice(spread, 1, k + 1).alias("ids"))
-    classes = salted.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    # the smallest ids of each class, limited within tasks before anything is shuffled by vector
+    rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    least = keyed.dropDuplicates(["id", "v"]).withColumn("r", rank).where(F.col("r") <= k + 1)
+    classes = least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     classes = materialize(classes.withColumn("cls", F.col("ids")[0]))
     n = classes.count()
     blocks = max(1, -(-n // block_rows))

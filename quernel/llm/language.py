@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import textblocks as tb
-from quernel.llm.shared import table
+from quernel.llm.shared import fresh, table
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -195,4 +195,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, F.lit(True))
     if model is None:
         return docs
-    return identify(docs, model, prefix="__lid_").where("not __lid_rejected").select(*docs.columns)
+    prefix = fresh("__lid_", docs.columns)
+    return identify(docs, model, prefix=prefix).where(f"not {prefix}rejected").select(*docs.columns)

@@ -57,15 +57,17 @@ def poisson_table(rates: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", weights: Mapping[str, float] | None = None, temperature: float = 2.0, repeat: float = 1.0, seed: int = 42) -> DataFrame:
     """Replicated and globally shuffled documents; see the module's text."""
-    rates = poisson_table(source_rates(docs, source, text, weights, temperature, repeat))
+    # whole rows travel as one struct, so no input column can clash with the columns added on the way
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(source).alias("__of"), F.col(text).alias("__text"), F.col(id_col).alias("__id"))
+    rates = poisson_table(source_rates(rows, "__of", "__text", weights, temperature, repeat))
     s = F.lit(str(seed))
-    uniform = lambda j: (hashed(s, j, F.col(id_col)) + 0.5) / F.lit(float(1 << 52))
+    uniform = lambda j: (hashed(s, j, F.col("__id")) + 0.5) / F.lit(float(1 << 52))
     below = F.aggregate(F.sequence(F.lit(1), F.col("__pieces")), F.lit(0), lambda acc, j: acc + F.size(F.filter("__cdf", lambda c: c < uniform(j))))
-    counted = docs.join(rates, F.col(source).eqNullSafe(F.col("__source")), "inner").withColumn("n_copies", below)
-    kept = [c for c in docs.columns if c not in ("n_copies", "copy", "shuffle_key")]
-    copies = counted.where("n_copies > 0").select(*kept, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", hashed(s, F.lit("copy"), F.col(id_col), F.col("copy")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    counted = rows.join(rates, F.col("__of").eqNullSafe(F.col("__source")), "inner").withColumn("n_copies", below)
+    copies = counted.where("n_copies > 0").select("__row", "__id", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", hashed(s, F.lit("copy"), F.col("__id"), F.col("copy")))
+    kept = [F.col(f"__row.`{c}`") for c in docs.columns if c not in ("n_copies", "copy", "shuffle_key")]
+    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*kept, "n_copies", "copy", "shuffle_key")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` begins with it."""
+    while any(c.startswith(name) for c in taken):
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm import textblocks as tb
 from quernel.llm.components import components
-from quernel.llm.shared import materialize, table
+from quernel.llm.shared import fresh, materialize, table
 
 RADIUS = 4
 STAGE_RADIUS = 6
@@ -193,7 +193,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one of least doc_id, and of equal ids the one of least text hash. Shingles
     have five words; the radius is STAGE_RADIUS, since a similarity of 0.9 means about six to seven differing bits."""
-    key = "__nd_row"
+    key = fresh("__nd_row", docs.columns)
     keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")))
     marked = materialize(fingerprints(keyed.select(key, "text"), "text", key, 5))
     fps = materialize(marked.groupBy("fp").agg(F.min(key).alias("least")))

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from quernel.llm.chunks import expand, expand_sorted, squeeze, squeeze_sorted, unpack
@@ -27,6 +28,13 @@ class Estimates:
     def __init__(self, twice: np.ndarray, hot: np.ndarray) -> None:
         self.bits = (twice, hot)
 
+    def __getstate__(self) -> list[bytes]:
+        """Compressed, for the copies that a broadcast leaves on disks."""
+        return [zstandard.ZstdCompressor(level=1).compress(b.tobytes()) for b in self.bits]
+
+    def __setstate__(self, state: list[bytes]) -> None:
+        self.bits = tuple(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(DEPTH, -1) for b in state)
+
     def _all(self, hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
         for r in range(DEPTH):

@@ -91,33 +91,59 @@ def shard_cuts(sorted_hashes: np.ndarray, shards: int) -> np.ndarray:
 Rows = Iterator[tuple[int, bytes]]
 
 
+def bundle(parts: list[tuple[int, bytes]]) -> bytes:
+    """Numbered byte strings as one."""
+    head = np.array([len(parts), *(x for s, b in parts for x in (s, len(b)))], np.uint32)
+    return head.tobytes() + b"".join(b for _, b in parts)
+
+
+def unbundle(b: bytes) -> Rows:
+    n = int(np.frombuffer(b, np.uint32, 1)[0])
+    head, at = np.frombuffer(b, np.uint32, 2 * n, 4).reshape(-1, 2).tolist(), 4 + 8 * n
+    for s, size in head:
+        yield s, b[at : at + size]
+        at += size
+
+
 def exchange(
     chunks: DataFrame,
     shards: int,
+    per_row: int,
     ask: Callable[[pa.RecordBatch], Rows],
     combine: Callable[[list[bytes]], list[bytes]],
     answer: Callable[[pa.RecordBatch, dict[int, bytes]], pa.Table],
     schema: StructType,
 ) -> DataFrame:
-    """``ask`` gives a chunk's (shard, entries); ``combine`` answers all entries of one shard, in order; ``answer`` turns
-    a chunk's rows and its answers by shard into rows of ``schema`` (columns of the chunk are named c0, c1, ...)."""
+    """``ask`` gives a chunk's (shard, entries), by shard; ``combine`` answers all entries of one shard, in order;
+    ``answer`` turns a chunk's rows and its answers by shard into rows of ``schema`` (columns of the chunk are named c0,
+    c1, ...). ``per_row`` neighbouring shards travel in one row and are combined one after another, so that a shard stays
+    small in memory while rows, chunks times shards over ``per_row``, stay few."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = list(ask(unpack(rows.as_py())))
-                yield pa.record_batch([pa.array([s for s, _ in got], pa.int32()), pa.array([chunk] * len(got), pa.int64()), pa.array([b for _, b in got], pa.binary())], ["shard", "chunk", "entries"])
+                groups: dict[int, list[tuple[int, bytes]]] = {}
+                for s, b in ask(unpack(rows.as_py())):
+                    groups.setdefault(s // per_row, []).append((s, b))
+                yield pa.record_batch([pa.array(list(groups), pa.int32()), pa.array([chunk] * len(groups), pa.int64()), pa.array([bundle(g) for g in groups.values()], pa.binary())], ["team", "chunk", "entries"])
 
     def meet(group: pa.Table) -> pa.Table:
-        out = combine(group.column("entries").to_pylist())
-        return pa.table([group.column("chunk"), group.column("shard"), pa.array(out, pa.binary())], ["chunk", "shard", "entries"])
+        by_shard: dict[int, list[tuple[int, bytes]]] = {}
+        for i, e in enumerate(group.column("entries").to_pylist()):
+            for s, b in unbundle(e):
+                by_shard.setdefault(s, []).append((i, b))
+        out: list[list[tuple[int, bytes]]] = [[] for _ in range(group.num_rows)]
+        for s in sorted(by_shard):
+            asked = by_shard.pop(s)
+            for (i, _), b in zip(asked, combine([b for _, b in asked]), strict=True):
+                out[i].append((s, b))
+        return pa.table([group.column("chunk"), pa.array([bundle(x) for x in out], pa.binary())], ["chunk", "entries"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        return answer(unpack(left.column("rows")[0].as_py()), dict(zip(right.column("shard").to_pylist(), right.column("entries").to_pylist(), strict=True)))
+        return answer(unpack(left.column("rows")[0].as_py()), {s: b for e in right.column("entries").to_pylist() for s, b in unbundle(e)})
 
-    asked = chunks.select("chunk", "rows").mapInArrow(send, "shard int, chunk long, entries binary")
-    # as many partitions as shards: each holds one or a few
-    answers = asked.repartition(max(1, shards), "shard").groupBy("shard").applyInArrow(meet, "chunk long, shard int, entries binary")
+    asked = chunks.select("chunk", "rows").mapInArrow(send, "team int, chunk long, entries binary")
+    answers = asked.repartition(max(1, -(-shards // per_row)), "team").groupBy("team").applyInArrow(meet, "chunk long, entries binary")
     parts = max(1, chunks.count())
     by_chunk = answers.repartition(parts, "chunk").groupBy("chunk")
     return chunks.select("chunk", "rows").repartition(parts, "chunk").groupBy("chunk").cogroup(by_chunk).applyInArrow(finish, schema)

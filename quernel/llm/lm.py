@@ -27,6 +27,7 @@ from quernel.llm.shared import table
 
 BLOCK = 1 << 20
 SHARD = 4 << 20  # bytes of text for which a shard gets the n-grams, about
+TEAM = 4  # shards that travel together
 ALL = np.uint64(0)  # stands for the empty n-gram, whose count is the number of words
 
 
@@ -136,7 +137,7 @@ def lm_scores(docs: DataFrame, text: str = "text", order: int = 3, alpha: float
 
     fields = [*docs.schema, StructField(added[0], LongType()), StructField(added[1], LongType()), StructField(added[2], DoubleType())]
     kinds = StructType([StructField(n, f.dataType) for n, f in zip(out_names, fields, strict=True)])
-    return exchange(chunks, shards, ask, _combine, answer, kinds).toDF(*names, *added)
+    return exchange(chunks, shards, TEAM, ask, _combine, answer, kinds).toDF(*names, *added)
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

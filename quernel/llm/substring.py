@@ -20,12 +20,13 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from quernel.llm import textblocks as tb
 from quernel.llm import windows
-from quernel.llm.chunks import exchange, pack, sub_blocks, total_size
-from quernel.llm.shared import table
+from quernel.llm.chunks import CHUNK, exchange, pack, sub_blocks, total_size
+from quernel.llm.shared import fresh, table
 from quernel.llm.sketch import estimate
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 SHARD = 1 << 21  # windows a shard gets on average, at most
+TEAM = 4  # shards that travel together
 
 
 def _scan(batch: pa.RecordBatch, text: str, window: int, gram: int):
@@ -52,13 +53,13 @@ def _candidates(batch: pa.RecordBatch, text: str, window: int, gram: int, seen)
     return windows.Local(np.concatenate(one), np.concatenate(two)), at
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 20, prefix: str = "") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 20, prefix: str = "", chunk_bytes: int = CHUNK) -> DataFrame:
     """All columns with n_words, n_removed and kept (the words left, joined by one space, as bytes), named with
     ``prefix``; input columns of these names are replaced."""
     added = [f"{prefix}{x}" for x in ("n_words", "n_removed", "kept")]
     docs = docs.drop(*added)
     names, column = docs.columns, f"c{docs.columns.index(text)}"
-    chunks = pack(docs, text)
+    chunks = pack(docs, text, chunk_bytes)
     shards = max(1, -(-total_size(chunks) // (6 * SHARD)))
 
     def anchors(batch: pa.RecordBatch) -> np.ndarray:
@@ -92,7 +93,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, gram:
         return pa.table([*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], out_names)
 
     kinds = StructType([StructField(n, f.dataType) for n, f in zip(out_names, fields, strict=True)])
-    return exchange(chunks, shards, ask, windows.combine, answer, kinds).toDF(*names, *added)
+    return exchange(chunks, shards, TEAM, ask, windows.combine, answer, kinds).toDF(*names, *added)
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,10 +104,11 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of repeated passages of 50 words or more; untouched texts stay as they are, n_chars
     follows, and documents left without words go."""
-    out = remove_repeats(docs, window=50, gram=30, prefix="__ss_")
-    changed = F.col("__ss_n_removed") > 0
-    text = F.when(changed, F.col("__ss_kept").cast("string")).otherwise(F.col("text"))
-    left = out.where(~changed | (F.col("__ss_n_removed") < F.col("__ss_n_words"))).withColumn("text", text)
+    p = fresh("__ss_", docs.columns)
+    out = remove_repeats(docs, window=50, gram=30, prefix=p)
+    changed = F.col(f"{p}n_removed") > 0
+    text = F.when(changed, F.col(f"{p}kept").cast("string")).otherwise(F.col("text"))
+    left = out.where(~changed | (F.col(f"{p}n_removed") < F.col(f"{p}n_words"))).withColumn("text", text)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)

@@ -37,6 +37,7 @@ from quernel.llm.sketch import estimate
 
 BLOCK = 1 << 20
 SHARD = 2 << 20  # bytes of contexts a shard gets on average, about
+TEAM = 32  # shards that travel together
 GRAM, FIRST = 64, 50
 HOT = 4096
 
@@ -210,7 +211,7 @@ def remove_strings(docs: DataFrame, text: str = "text", window: int = 400, prefi
         return pa.table([*batch.columns, pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], out_names)
 
     kinds = StructType([StructField(n, f.dataType) for n, f in zip(out_names, fields, strict=True)])
-    return exchange(chunks, 2 * shards, ask, lambda e: _combine(e, window), answer, kinds).toDF(*names, *added)
+    return exchange(chunks, 2 * shards, TEAM, ask, lambda e: _combine(e, window), answer, kinds).toDF(*names, *added)
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

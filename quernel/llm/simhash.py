@@ -120,57 +120,74 @@ def tables(fps: DataFrame, radius: int) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*masks)).alias("x")).select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
 
 
-def bucket_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) that connect each bucket (t, key) of distinct fingerprints as far as its pairs do."""
+def bucket_links(rows: DataFrame, radius: int, most: int | None) -> DataFrame:
+    """Rows (t, a, b): with t = -1 links a, b that connect each bucket (t, key) of distinct fingerprints as far as its
+    pairs do; otherwise a fingerprint a of a bucket of table t that holds more than ``most``."""
+    size = most or 1 << 62
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of a partition are sorted by bucket; one bucket is held at a time, and small ones go together
-        tail: pa.Table | None = None
+        # a partition's rows come sorted by bucket; what is held is the last bucket, until it is whole or too large
+        held = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        large: tuple[int, int] | None = None
         for batch in batches:
-            whole = pa.Table.from_batches([batch])
-            tail = whole if tail is None else pa.concat_tables([tail, whole])
-            t, key = tail.column("t").to_numpy(), tail.column("key").to_numpy()
+            t, key, fp = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            if large is not None:
+                same = (t == large[0]) & (key == large[1])
+                n = len(t) if same.all() else int(np.argmin(same))
+                yield _rows(t[:n], fp[:n], np.zeros(n, np.int64))
+                t, key, fp = t[n:], key[n:], fp[n:]
             cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-            if len(cut):
-                yield from _links(tail.slice(0, int(cut[-1])), radius)
-                tail = tail.slice(int(cut[-1]))
-        if tail is not None:
-            yield from _links(tail, radius)
-
-    return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "a long, b long")
-
-
-def _links(rows: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
-    t, key = rows.column("t").to_numpy(), rows.column("key").to_numpy()
-    fp = rows.column("fp").to_numpy().view(np.uint64)
-    begin = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])]) if len(fp) else np.zeros(0, np.int64)
-    end = np.r_[begin[1:], len(fp)]
-    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    two = begin[end - begin == 2]
-    if len(two):
-        near = popcount(fp[two] ^ fp[two + 1]) <= radius
-        a.append(fp[two][near])
-        b.append(fp[two + 1][near])
-    for s, e in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist(), strict=True):
-        own = np.sort(fp[s:e])
+            whole = int(cut[-1]) if len(cut) else 0
+            if whole:
+                yield from _links(t[:whole], key[:whole], fp[:whole].view(np.uint64), radius, size)
+            if len(t):
+                large = None
+            t, key, fp = t[whole:], key[whole:], fp[whole:]
+            if len(t) > size:
+                yield _rows(t, fp, np.zeros(len(t), np.int64))
+                large = (int(t[0]), int(key[0]))
+                t, key, fp = t[:0], key[:0], fp[:0]
+            held = (t, key, fp)
+        if len(held[0]):
+            yield from _links(held[0], held[1], held[2].view(np.uint64), radius, size)
+
+    return rows.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "t int, a long, b long")
+
+
+def _rows(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(t, pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["t", "a", "b"])
+
+
+def _links(t: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Links within whole buckets, and the rows of those with more than ``most``."""
+    begin = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])])
+    size = np.diff(np.r_[begin, len(fp)])
+    large = np.repeat(size > most, size)
+    if large.any():
+        yield _rows(t[large], fp[large], np.zeros(int(large.sum()), np.int64))
+    two = begin[(size == 2) & (size <= most)]
+    near = popcount(fp[two] ^ fp[two + 1]) <= radius
+    a, b = [fp[two][near]], [fp[two + 1][near]]
+    several = (size > 2) & (size <= most)
+    for s, n in zip(begin[several].tolist(), size[several].tolist(), strict=True):
+        own = np.sort(fp[s : s + n])
         root = groups(own, radius)
-        linked = np.flatnonzero(root != np.arange(len(own)))
+        linked = np.flatnonzero(root != np.arange(n))
         a.append(own[root[linked]])
         b.append(own[linked])
-    yield pa.record_batch([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], ["a", "b"])
+    a, b = np.concatenate(a), np.concatenate(b)
+    yield _rows(np.full(len(a), -1, np.int32), a, b)
 
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = 20_000) -> DataFrame:
     """Distinct links (a, b) between distinct fingerprints (column fp): the same components as all linked pairs have."""
-    rows = tables(fps, radius)
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n"))
-    several = sizes.where("n > 1").select("t", "key", (F.col("n") > bucket_rows).alias("big"))
-    kept = materialize(rows.join(several, ["t", "key"]))
-    out = bucket_links(kept.where("not big").select("t", "key", "fp"), radius)
-    firsts = covering_masks(64, radius).tolist()
-    second = F.create_map(*[x for i, m in enumerate(firsts) for x in (F.lit(i), F.array(*[F.lit(int(np.int64(np.uint64(y)))) for y in spread_masks(m, radius)]))])
-    split = kept.where("big").select(F.col("t").alias("t0"), "fp", F.posexplode(F.element_at(second, F.col("t"))).alias("j", "m")).select((F.col("t0") * 4096 + F.col("j") + 4096).alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
-    return out.unionAll(bucket_links(split, radius)).distinct()
+    first = materialize(bucket_links(tables(fps, radius), radius, bucket_rows))
+    masks = covering_masks(64, radius).tolist()
+    second = F.create_map(*[x for i, m in enumerate(masks) for x in (F.lit(i), F.array(*[F.lit(int(np.int64(np.uint64(y)))) for y in spread_masks(m, radius)]))])
+    split = first.where("t >= 0").select(F.col("t").alias("t0"), F.col("a").alias("fp"), F.posexplode(F.element_at(second, F.col("t"))).alias("j", "m"))
+    split = split.select((F.col("t0") * 4096 + F.col("j")).alias("t"), F.col("fp").bitwiseAND(F.col("m")).alias("key"), "fp")
+    again = bucket_links(split, radius, None).where("t = -1")
+    return first.where("t = -1").select("a", "b").unionAll(again.select("a", "b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 4, radius: int = RADIUS) -> DataFrame:

@@ -146,8 +146,12 @@ def has_letter(text: str = "text") -> Column:
 
 def fit(docs: DataFrame, eligible: Column, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample_rows: int = 3000, row_bytes: int = 1 << 16) -> Model | None:
     """A model from the labelled, eligible rows of smallest hash; at most sample_rows * row_bytes bytes reach the driver."""
-    rows = docs.where(eligible & F.col(lang).isNotNull() & has_letter(text) & (F.octet_length(text) <= row_bytes))
-    rows = rows.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    labelled = docs.where(eligible & F.col(lang).isNotNull())
+    # rows over a bound on the hash, of which about twice the sample remains: tasks send no more than those
+    share = min(1.0, 2.0 * sample_rows / max(1, labelled.count()))
+    bound = F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    rows = rows.where((F.col("h") <= bound) & has_letter("text") & (F.octet_length("text") <= row_bytes))
     got = rows.orderBy("h", "lang", "text").limit(sample_rows).collect()
     return train([r.text for r in got], [r.lang for r in got])
 

@@ -18,6 +18,7 @@ but never name one, unless all of a component's ids are null. Repeated rows stay
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,12 +79,22 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: str = "doc_id", size
     return docs.select(keep, F.col(text).alias("text")).mapInArrow(run, f"`{keep}` {kind}, fp long")
 
 
+@cache
 def covering_masks(positions: int, radius: int, seed: int = 0) -> np.ndarray:
-    """2**(radius+1) - 1 masks over ``positions`` bits: any ``radius`` bits are absent from one of them."""
-    size = radius + 1
-    vectors = 1 + np.arange(positions) % ((1 << size) - 1)
-    np.random.default_rng(seed).shuffle(vectors)
-    return np.array([sum(1 << i for i, m in enumerate(vectors.tolist()) if bin(m & v).count("1") & 1) for v in range(1, 1 << size)], np.uint64)
+    """2**(radius+1) - 1 masks over ``positions`` bits: any ``radius`` bits are absent from one of them.
+
+    All vectors share one bit, and the rest runs evenly through all values: a first-order Reed-Muller code, whose masks
+    keep half of the positions or all. Where positions do not suffice for that, the best of several draws is taken, by
+    the fewest positions that a mask keeps: a mask of few positions would put most fingerprints in one bucket."""
+    values, rng = 1 << radius, np.random.default_rng(seed)
+    v = np.arange(1, 2 * values, dtype=np.uint64)[:, None]
+    best, most = np.zeros((2 * values - 1, positions), bool), -1
+    for _ in range(200 if positions % values else 1):
+        drawn = np.concatenate([rng.permutation(values) for _ in range(-(-positions // values) or 1)])[:positions]
+        kept = np.bitwise_count(v & (values + drawn).astype(np.uint64)) % 2 == 1
+        if (least := kept.sum(1).min()) > most:
+            best, most = kept, least
+    return np.array([sum(1 << i for i in np.flatnonzero(row).tolist()) for row in best], np.uint64)
 
 
 def spread_masks(mask: int, radius: int) -> list[int]:

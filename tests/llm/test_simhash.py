@@ -45,6 +45,15 @@ def test_covering_masks_miss_no_pair():
             assert any(not m & differing for m in simhash.spread_masks(first, radius))
 
 
+def test_no_mask_keeps_few_positions():
+    for radius in (4, 6):
+        masks = [int(m) for m in simhash.covering_masks(64, radius)]
+        assert min(m.bit_count() for m in masks) == 32
+        for m in masks:
+            if m.bit_count() < 64:
+                assert all(x.bit_count() - m.bit_count() >= 12 for x in simhash.spread_masks(m, radius))
+
+
 def test_fingerprints_and_components(docs, corpus):
     want = [fingerprint(r[1]) for r in corpus]
     root = classes(sorted(set(want)), lambda a, b: bin(a ^ b).count("1") <= 4)

@@ -13,6 +13,14 @@ all buckets come from iterated minima, as joins and aggregates.
 
 Null, empty and wordless texts have fingerprint zero and link like any other. Null doc_ids keep their row and component
 but never name one, unless all of a component's ids are null. Repeated rows stay. Other columns are not read.
+
+The pipeline's stage links texts whose sets of shingles have a Jaccard similarity of SIMILARITY or more. Candidates are
+pairs of distinct sets with fingerprints at most CANDIDATE_RADIUS bits apart: of that many bits one of three parts of the
+fingerprint has at most PART_RADIUS, so a covering family on each part separates no such pair. A bucket's rows come
+sorted by size of set and meet only those whose size allows the similarity. Each candidate is then decided by its sets:
+first by counts of the hashes in 256 classes, which bound the difference from below, and what is left by the sets.
+A first round takes one candidate of each row of a bucket, so that large groups of near copies give no squares of pairs;
+a second round takes every candidate whose sets the first has not joined.
 """
 
 from __future__ import annotations
@@ -31,7 +39,11 @@ from quernel.llm.components import components
 from quernel.llm.shared import fresh, materialize, table
 
 RADIUS = 4
-STAGE_RADIUS = 6
+STAGE_RADIUS = 6  # of the unverified links before; read only by a test, in whose corpus no similar pair is farther apart
+CANDIDATE_RADIUS = 14
+PART_RADIUS = 4
+PARTS = ((0, 21), (21, 21), (42, 22))  # first bit and bits
+SIMILARITY = (4, 5)
 ONES = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
 
 
@@ -218,15 +230,155 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def part_masks() -> list[int]:
+    """Masks of the covering families on the three parts."""
+    return [int(m) << first for first, n in PARTS for m in covering_masks(n, PART_RADIUS).tolist()]
+
+
+def near_pairs(t: np.ndarray, key: np.ndarray, n: np.ndarray, fp: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes x < y, ``start`` <= y, of rows of one bucket within CANDIDATE_RADIUS whose sizes allow the similarity, for the
+    first table in which a pair meets. Rows are sorted by bucket and size."""
+    masks = np.array(part_masks(), np.uint64)
+    cut = np.r_[np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])]), len(t)].tolist() if len(t) else [0]
+    low, high = SIMILARITY
+    for s, e in zip(cut[:-1], cut[1:], strict=True):
+        if e - s < 2 or e <= start:
+            continue
+        reach = s + np.searchsorted(n[s:e] * low, n[s:e] * high, "right")
+        for i in range(s, e, 64):
+            k = min(i + 64, e)
+            for c in range(max(i + 1, start), int(reach[k - 1 - s]), 4096):
+                x, y = np.nonzero(popcount(fp[i:k, None] ^ fp[c : min(c + 4096, int(reach[k - 1 - s]))]) <= CANDIDATE_RADIUS)
+                x, y = x + i, y + c
+                fits = (y > x) & (y < reach[x - s])
+                x, y = x[fits], y[fits]
+                for j in range(0, len(x), 8192):
+                    a, b = x[j : j + 8192], y[j : j + 8192]
+                    met = np.argmax((fp[a] ^ fp[b])[:, None] & masks == 0, axis=1) == t[s]
+                    yield a[met], b[met]
+
+
+def candidates(nodes: DataFrame, each: bool) -> DataFrame:
+    """Pairs (a, b) of the sets s whose fingerprints fp and sizes n allow the similarity and whose groups r differ: of
+    each row of a bucket the first, or ``each``."""
+    low, high = SIMILARITY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come sorted by bucket and size; what is held is the part of the last bucket that later rows can match
+        held = (np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(5)))
+        for batch in batches:
+            start = len(held[0])
+            t, key, n, fp, s, r = held = tuple(np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            a, b, seen = [s[:0]], [s[:0]], np.zeros(len(s), bool)
+            for x, y in near_pairs(t, key, n, fp.view(np.uint64), start):
+                new = r[x] != r[y]
+                if not each:
+                    new &= ~seen[y]
+                    x, y = x[new], y[new]
+                    y, new = np.unique(y, return_index=True)
+                    seen[y] = True
+                    x = x[new]
+                else:
+                    x, y = x[new], y[new]
+                a.append(s[x])
+                b.append(s[y])
+                if sum(map(len, a)) > 1 << 16:
+                    yield pa.record_batch([np.concatenate(a), np.concatenate(b)], ["a", "b"])
+                    a, b = [s[:0]], [s[:0]]
+            yield pa.record_batch([np.concatenate(a), np.concatenate(b)], ["a", "b"])
+            if len(t):
+                last = (t == t[-1]) & (key == key[-1]) & (n * high >= n[-1] * low)
+                held = tuple(x[last] for x in held)
+
+    masks = [F.struct(F.lit(i).alias("t"), F.lit(int(np.int64(np.uint64(m)))).alias("m")) for i, m in enumerate(part_masks())]
+    # sets of fewer shingles than this are similar to themselves alone
+    rows = nodes.where(F.col("n") * (high - low) >= low).select("n", "fp", "s", "r", F.explode(F.array(*masks)).alias("x"))
+    rows = rows.select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "n", "fp", "s", "r")
+    return rows.repartition("t", "key").sortWithinPartitions("t", "key", "n").mapInArrow(run, "a long, b long")
+
+
+def shingle_sets(docs: DataFrame, keep: str, whole: bool) -> DataFrame:
+    """The column ``keep`` with s, the hash of the text's set of five-word shingles; and the set itself as bytes, or the
+    fingerprint fp, the set's size n and its counts in 256 classes (capped, which lowers no bound) as bytes."""
+    kind = docs.schema[keep].dataType.simpleString()
+    more = "shingles binary" if whole else "fp long, n long, classes binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, off in tb.blocks(batches, text="text", most=1 << 20):
+            raw = data.tobytes()
+            each = [np.array(shingle_hashes(raw[a:b], 5), np.uint64) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            sets = [np.unique(x) for x in each]
+            out = [tb.column(batch, keep), pa.array([xxhash.xxh64_intdigest(x.tobytes(), 7) for x in sets], pa.uint64()).view(pa.int64())]
+            if whole:
+                out.append(pa.array([x.tobytes() for x in sets], pa.binary()))
+            else:
+                first = np.zeros(len(each) + 1, np.int64)
+                np.cumsum([len(x) for x in each], out=first[1:])
+                classes = [np.minimum(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for x in sets]
+                out += [pa.array(fingerprint(np.concatenate(each), first).view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(classes, pa.binary())]
+            yield pa.record_batch(out, [keep, "s", *(x.split()[0] for x in more.split(", "))])
+
+    return docs.select(keep, "text").mapInArrow(run, f"`{keep}` {kind}, s long, {more}")
+
+
+def possible(n: int, m: int, x: bytes, y: bytes) -> bool:
+    """Whether sets of n and m elements can be similar by their counts in classes."""
+    differ = int(np.abs(np.frombuffer(x, np.uint8).astype(np.int64) - np.frombuffer(y, np.uint8)).sum())
+    return enough(n + m, (n + m - differ) / 2)
+
+
+def enough(both: int, common: float) -> bool:
+    """Whether ``common`` elements suffice for sets of ``both`` elements together."""
+    low, high = SIMILARITY
+    return common * (low + high) >= low * both
+
+
+def similar(x: bytes, y: bytes) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    return enough(len(x) + len(y), len(np.intersect1d(x, y, assume_unique=True)))
+
+
+def _where(pairs: DataFrame, holds) -> DataFrame:
+    """The pairs (a, b) for which ``holds`` is true of the other columns' values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [holds(*(v.as_py() for v in row)) for row in zip(*batch.columns[2:], strict=True)]
+            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def similar_links(docs: DataFrame, key: str, nodes: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what all pairs of sets at SIMILARITY or more within CANDIDATE_RADIUS do. ``nodes``: each distinct set s with
+    n, classes and least, the ``key`` of a row of ``docs`` that has it; ``prints``: s, fp and n, several fp of a set whose
+    texts repeat shingles differently."""
+    first = materialize(_verified(docs, key, nodes, candidates(prints.withColumn("r", F.col("s")), False)))
+    joined = components(first).select(F.col("node").alias("s"), "root")
+    prints = prints.join(joined, "s", "left").select("s", "fp", "n", F.coalesce("root", "s").alias("r"))
+    return first.unionAll(_verified(docs, key, nodes, candidates(prints, True)))
+
+
+def _verified(docs: DataFrame, key: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs at SIMILARITY or more."""
+    own = [nodes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("classes").alias(f"c{x}")) for x in "ab"]
+    met = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(own[0], "a").join(own[1], "b").select("a", "b", "na", "nb", "ca", "cb")
+    met = materialize(_where(met, possible))
+    needed = met.select(F.col("a").alias("s")).unionAll(met.select(F.col("b").alias("s"))).distinct()
+    rows = docs.join(nodes.join(needed, "s", "left_semi").select(F.col("least").alias(key)), key, "left_semi")
+    sets = materialize(shingle_sets(rows.dropDuplicates([key]), key, True).select("s", "shingles"))
+    own = [sets.select(F.col("s").alias(x), F.col("shingles").alias(f"w{x}")) for x in "ab"]
+    return _where(met.join(own[0], "a").join(own[1], "b").select("a", "b", "wa", "wb"), similar)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one of least doc_id, and of equal ids the one of least text hash. Shingles
-    have five words; the radius is STAGE_RADIUS, since a similarity of 0.9 means about six to seven differing bits."""
+    """Keeps one document of each group: the one of least doc_id, and of equal ids the one of least text hash."""
     key = fresh("__nd_row", docs.columns)
     keyed = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.xxhash64("text").alias("h")))
-    marked = materialize(fingerprints(keyed.select(key, "text"), "text", key, 5))
-    fps = materialize(marked.groupBy("fp").agg(F.min(key).alias("least")))
-    labels = components(materialize(links(fps.select("fp"), STAGE_RADIUS)))
-    named = fps.join(labels.select(F.col("node").alias("fp"), "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    marked = materialize(shingle_sets(keyed, key, False))
+    nodes = materialize(marked.groupBy("s").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("classes").alias("classes")))
+    labels = components(materialize(similar_links(keyed, key, nodes, marked.select("s", "fp", "n").distinct())))
+    named = nodes.join(labels.select(F.col("node").alias("s"), "root"), "s", "left").select(F.coalesce("root", "s").alias("root"), "least")
     kept = named.groupBy("root").agg(F.min("least").alias(key)).select(key)
     chosen = keyed.join(kept, key, "left_semi")
     # rows equal in id and text are copies of each other; one stays

@@ -101,3 +101,67 @@ def test_stage_keeps_one_of_each_group(spark, docs, corpus):
     fps = [fingerprint(r[1], 5) for r in corpus]
     root = classes(sorted(set(fps)), lambda a, b: bin(a ^ b).count("1") <= simhash.STAGE_RADIUS)
     assert sorted(root[fingerprint(r.text, 5)] for r in rows) == sorted(set(root.values()))
+
+
+def shingle_set(text, size=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def test_part_masks_miss_no_pair():
+    rng = np.random.default_rng(4)
+    masks = simhash.part_masks()
+    for _ in range(300):
+        differing = sum(1 << int(b) for b in rng.choice(64, simhash.CANDIDATE_RADIUS, replace=False))
+        assert any(not m & differing for m in masks)
+
+
+def test_near_pairs_against_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 4).astype(np.uint64)
+    fp = np.array([int(base[k % 4]) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 9)), replace=False)) for k in range(300)], np.uint64)
+    n = rng.integers(10, 30, 300)
+    found = []
+    for t, m in enumerate(simhash.part_masks()):
+        key = fp & np.uint64(m)
+        order = np.lexsort((n, key))
+        for x, y in simhash.near_pairs(np.full(300, t), key[order].view(np.int64), n[order], fp[order], 0):
+            found += zip(order[x].tolist(), order[y].tolist(), strict=True)
+    want = {(a, b) for a, b in itertools.combinations(range(300), 2) if int(fp[a] ^ fp[b]).bit_count() <= simhash.CANDIDATE_RADIUS and 5 * min(n[a], n[b]) >= 4 * max(n[a], n[b])}
+    assert len(found) == len(set(found)) and {(min(p), max(p)) for p in found} == want
+
+
+def test_stage_links_by_similarity_of_shingles(spark):
+    """Copies at 0.8 and somewhat more are found though 7 bits and more differ; texts somewhat below 0.8 all stay."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for k in range(60):
+        w = [f"w{int(x)}" for x in rng.integers(0, 1 << 40, 100)]
+        texts.append(" ".join(w))
+        # of 96 shingles each replaced word away from others takes 5
+        for at in (20, 60) if k % 2 else (20, 40, 60):
+            w[at] = "other"
+        texts.append(" ".join(w))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in simhash.stage(spark, df, "").collect()}
+    sets = [shingle_set(t) for t in texts]
+    alike = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8 for i in range(0, 120, 2)]
+    assert alike == [bool(k % 2) for k in range(60)]
+    far = [(fingerprint(texts[i], 5) ^ fingerprint(texts[i + 1], 5)).bit_count() for i in range(0, 120, 2)]
+    assert any(7 <= d <= simhash.CANDIDATE_RADIUS for d, a in zip(far, alike, strict=True) if a) and any(d <= simhash.CANDIDATE_RADIUS for d, a in zip(far, alike, strict=True) if not a)
+    for i, a, d in zip(range(0, 120, 2), alike, far, strict=True):
+        assert i in kept and (i + 1 in kept) == (not a or d > simhash.CANDIDATE_RADIUS)
+
+
+def test_large_groups_give_no_squares_of_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(400):
+        fp = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+        rows.append((k, int(np.int64(np.uint64(fp))), 100, k))
+    df = spark.createDataFrame(rows, "s long, fp long, n long, r long")
+    pairs = {(r.a, r.b) for r in simhash.candidates(df, False).collect()}
+    assert len(pairs) < 400 * 30 and len({y for p in pairs for y in p}) == 400
+    assert {frozenset((r.a, r.b)) for r in simhash.candidates(df, True).collect()} == {frozenset(p) for p in itertools.combinations(range(400), 2)}
+    assert simhash.candidates(df.selectExpr("s", "fp", "n", "0L as r"), True).count() == 0

@@ -8,7 +8,7 @@ distinct one once, to the shard of the anchor's hash: suffixes that can be equal
 A shard names the q-grams at all positions of its distinct contexts (the initial buckets) and refines buckets of more
 than one suffix by sorting on the pair of a suffix's bucket and the bucket of the suffix that starts as much later as
 the buckets are deep. Every refinement uses the buckets that the one before has made, so depth doubles; a suffix alone in
-its bucket is left out from then on. Suffixes that share a bucket at depth ``window`` are repeated strings.
+its bucket is left out from then on, and keeps a number that no later round gives again. Suffixes that share a bucket at depth ``window`` are repeated strings.
 
 Anchors of ``hot`` or more occurrences by estimate (a passage in a large share of all documents) would fill one shard:
 their windows are spread by their own hashes instead and grouped exactly by 96 bits.
@@ -102,13 +102,13 @@ def refine(text: np.ndarray, size: np.ndarray, owned: np.ndarray, window: int) -
     live = np.flatnonzero(rest >= first).astype(np.int32)
     names = tb.Rolling(tb.byte_values(text, 6), 6).windows(first)[live]
     bucket = np.zeros(len(text), np.uint32)
-    bucket[live], live = _name(names, live)
+    bucket[live], live, used = _name(names, live, 0)
     del names
     while depth < window and len(live):
         step = min(depth, window - depth)
         live = live[rest[live] >= depth + step]
         pair = bucket[live].astype(np.uint64) << np.uint64(32) | bucket[live + step]
-        bucket[live], live = _name(pair, live)
+        bucket[live], live, used = _name(pair, live, used)
         depth += step
     several = np.zeros(len(text), bool)
     several[live] = True
@@ -116,18 +116,19 @@ def refine(text: np.ndarray, size: np.ndarray, owned: np.ndarray, window: int) -
     return several[start]
 
 
-def _name(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of the suffixes ``at`` by their keys, and the suffixes whose bucket has several."""
+def _name(keys: np.ndarray, at: np.ndarray, used: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bucket numbers, from ``used`` on, of the suffixes ``at`` by their keys, the suffixes whose bucket has several, and
+    the first number that is free."""
     order = np.argsort(keys)
     s = keys[order]
     new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
-    rank = (np.cumsum(new) - 1).astype(np.uint32)
+    rank = (np.cumsum(new) - 1 + used).astype(np.uint32)
     out = np.empty(len(keys), np.uint32)
     out[order] = rank
     alone = new & np.r_[new[1:], True] if len(s) else new
     many = np.ones(len(keys), bool)
     many[order] = ~alone
-    return out, at[many]
+    return out, at[many], used + int(new.sum())
 
 
 def _combine(entries: list[bytes], window: int) -> list[bytes]:

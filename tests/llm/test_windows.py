@@ -67,6 +67,22 @@ def test_refinement_finds_equal_windows():
     assert got.tolist() == [counts[w] > 1 for w in every]
 
 
+def test_refinement_of_copies_with_single_edits():
+    rng = np.random.default_rng(7)
+    for _ in range(6):
+        passages = [rng.integers(0, 250, 700).astype(np.uint8) for _ in range(4)]
+        parts = []
+        for k in range(160):
+            one = passages[k % 4].copy()
+            one[rng.integers(0, 700)] ^= rng.integers(1, 6).astype(np.uint8)
+            parts.append(one)
+        size, window = np.full(len(parts), 700), 400
+        got = suffix.refine(np.concatenate(parts), size, size - window + 1, window)
+        every = [p[k : k + window].tobytes() for p in parts for k in range(len(p) - window + 1)]
+        counts = Counter(every)
+        assert got.tolist() == [counts[w] > 1 for w in every]
+
+
 def test_window_grouping_tells_equal_first_halves_apart():
     a, b = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint32)
     local = wd.Local(a, b)

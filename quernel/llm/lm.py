@@ -8,8 +8,7 @@ over the count of that n-gram without its last word, times ``alpha`` for each or
 fits in the document; a single word's is its share of all words. A document's score is the sum of natural logarithms,
 each rounded to millionths so that sums do not depend on their order.
 
-n-grams are known by as many bits of hash as keep the chance that one shares its hash with another of the corpus under
-2**-16 (more for a larger corpus, up to 64); frequent ones cost each chunk one entry. Null and wordless texts have no words,
+n-grams are known by 64 bits of hash, whatever the corpus's size; frequent ones cost each chunk one entry. Null and wordless texts have no words,
 score 0 and no mean. Repeated rows count as often as they occur. An empty table gives no rows. Other columns are kept
 unless they have the names added.
 """
@@ -31,12 +30,7 @@ TEAM = 4  # shards that travel together
 ALL = np.uint64(0)  # stands for the empty n-gram, whose count is the number of words
 
 
-def hash_bits(size: int, order: int) -> int:
-    """Bits for a corpus of ``size`` bytes, which has at most half as many words."""
-    return min(64, 16 + max(16, int(size * order // 2).bit_length()))
-
-
-def ngrams(batch: pa.RecordBatch, text: str, order: int, bits: int = 64) -> tuple[list[np.ndarray], np.ndarray]:
+def ngrams(batch: pa.RecordBatch, text: str, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Per order the hash of the n-gram that ends at each word (ALL where it would cross a text's start), and the number
     of words of each text."""
     out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(order)]
@@ -49,8 +43,7 @@ def ngrams(batch: pa.RecordBatch, text: str, order: int, bits: int = 64) -> tupl
         for n in range(1, order + 1):
             g = np.full(len(h), ALL)
             w = tb.Rolling(h, 10 + n).windows(n)
-            drop = np.uint64(64 - bits)
-            g[n - 1 :] = np.maximum(w >> drop, np.uint64(1)) << drop
+            g[n - 1 :] = np.maximum(w, np.uint64(1))
             g[since < n - 1] = ALL
             out[n - 1].append(g)
     return [np.concatenate(x) for x in out], np.concatenate(counts)
@@ -111,11 +104,10 @@ def lm_scores(docs: DataFrame, text: str = "text", order: int = 3, alpha: float
     docs = docs.drop(*added)
     names, column = docs.columns, f"c{docs.columns.index(text)}"
     chunks = pack(docs, text, chunk_bytes)
-    size = total_size(chunks)
-    shards, bits = max(1, -(-size // SHARD)), hash_bits(size, order)
+    shards = max(1, -(-total_size(chunks) // SHARD))
 
     def ask(batch: pa.RecordBatch) -> Rows:
-        hashes, counts, _ = _distinct(ngrams(batch, column, order, bits)[0])
+        hashes, counts, _ = _distinct(ngrams(batch, column, order)[0])
         cut = shard_cuts(hashes, shards)
         for s in np.flatnonzero(np.diff(cut)).tolist():
             one = squeeze_sorted(hashes[cut[s] : cut[s + 1]])
@@ -124,7 +116,7 @@ def lm_scores(docs: DataFrame, text: str = "text", order: int = 3, alpha: float
     out_names = [*(f"c{i}" for i in range(len(names))), "x0", "x1", "x2"]
 
     def answer(batch: pa.RecordBatch, answers: dict[int, bytes]) -> pa.Table:
-        grams, lengths = ngrams(batch, column, order, bits)
+        grams, lengths = ngrams(batch, column, order)
         of = _distinct(grams)[2]
         total = np.concatenate([expand(answers[s], np.uint64) for s in sorted(answers)]).astype(np.int64)
         counts = [np.where(g == ALL, 0, c) for g, c in zip(grams, np.split(total[of], order), strict=True)]

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,19 @@ def test_scores(docs, corpus):
     assert all((r.p_mean is None) == (r.p_n_words == 0) for r in rows)
 
 
+def test_words_whose_hashes_begin_alike_are_counted_apart(spark):
+    words = [f"w{k}" for k in range(400_000)]
+    h = lm.ngrams(pa.record_batch([pa.array([" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)])], ["t"]), "t", 1)[0][0]
+    order = np.argsort(h)
+    k = int(np.argmin(np.diff(h[order])))
+    a, b = words[order[k]], words[order[k + 1]]
+    assert h[order[k]] >> np.uint64(32) == h[order[k + 1]] >> np.uint64(32) and h[order[k]] != h[order[k + 1]]
+    texts = [a, b, f"{a} x", f"{b} x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.score) for r in lm.lm_scores(df).collect()}
+    assert got == dict(enumerate(brute_scores(texts)))
+
+
 def test_empty_tables(empty):
     for f in (substring.remove_repeats, suffix.remove_strings, lm.lm_scores):
         assert f(empty).collect() == []

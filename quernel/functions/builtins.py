@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from quernel.errors import NoFunction, NotSupported, QueryError
-from quernel.functions.types import BIGINT, BOOL, DATE, FLOAT, INT, INTEGERS, JSONB, NULL, NUMERIC, TEXT, TEXTS, TIMESTAMP, TIMESTAMPTZ, E, T, cast, common, fail, interval_literal, interval_micros, is_number, is_text, json_text, lit
+from quernel.functions.types import BIGINT, BOOL, DATE, FLOAT, INT, INTEGERS, JSONB, NULL, NUMERIC, TEXT, TEXTS, TIMESTAMP, TIMESTAMPTZ, E, T, cast, common, fail, interval_literal, interval_micros, is_number, is_text, json_text, lit, variant
 
 Builder = Callable[..., E]
 FUNCTIONS: dict[str, Builder] = {}
@@ -332,7 +332,7 @@ def _to_json(low, args):
 
 @builtin("jsonb_typeof", "json_typeof")
 def _typeof(low, args):
-    s = f"schema_of_variant(parse_json({args[0].sql}))"
+    s = f"schema_of_variant({variant(args[0].sql)})"
     return E(f"(CASE WHEN {args[0].sql} IS NULL THEN NULL WHEN {s} LIKE 'ARRAY%' THEN 'array' WHEN {s} LIKE 'OBJECT%' THEN 'object' WHEN {s} = 'STRING' THEN 'string' WHEN {s} = 'BOOLEAN' THEN 'boolean' WHEN {s} = 'VOID' THEN 'null' ELSE 'number' END)", TEXT, low.calling)
 
 
@@ -391,51 +391,51 @@ AGGREGATES = set("count sum avg min max array_agg json_agg jsonb_agg bool_and bo
 WINDOW_ONLY = {"row_number": BIGINT, "rank": BIGINT, "dense_rank": BIGINT, "percent_rank": FLOAT, "cume_dist": FLOAT, "ntile": INT, "lag": None, "lead": None, "first_value": None, "last_value": None, "nth_value": None}
 
 
-def aggregate(low, name: str, args: list[E], distinct: bool, star: bool, order: list[tuple[E, bool]]) -> E:
-    """An aggregate call without its FILTER."""
+def aggregate(low, name: str, args: list[E], distinct: bool, star: bool, order: list[tuple[E, bool]], chosen: str = "") -> E:
+    """An aggregate call; ``chosen``: its FILTER."""
     d = "DISTINCT " if distinct else ""
     if star or name == "count" and not args:
         if name != "count":
             raise NoFunction(f"function {name}(*) does not exist")
-        return E("count(1)", BIGINT, name)
+        return E(f"count(1){chosen}", BIGINT, name)
     a = args[0]
     if name == "count":
-        return E(f"count({d}{a.sql})", BIGINT, name)
+        return E(f"count({d}{a.sql}){chosen}", BIGINT, name)
     if name in ("sum", "avg"):
         if a.t.kind == "interval":
             raise NotSupported(f"{name}(interval)")
         if not is_number(a.t) and a.t.kind != "null":
             raise NoFunction(f"function {name}({a.t}) does not exist")
         t = FLOAT if a.t.kind in ("float", "real", "null") or name == "avg" and a.t.kind != "numeric" else BIGINT if a.t.kind in INTEGERS else NUMERIC
-        return E(f"{name}({d}{a.sql})", t, name)
+        return E(f"{name}({d}{a.sql}){chosen}", t, name)
     if name in ("min", "max"):
         if not (is_number(a.t) or is_text(a.t) or a.t.kind in ("date", "timestamp", "timestamptz", "time", "timetz", "null", "interval", "inet", "enum")):
             raise NoFunction(f"function {name}({a.t}) does not exist")
-        return E(f"{name}({a.sql})", a.t, name)
+        return E(f"{name}({a.sql}){chosen}", a.t, name)
     if name in ("bool_and", "bool_or", "every"):
-        return E(f"{'bool_and' if name == 'every' else name}({cast(a, BOOL, True).sql})", BOOL, name)
+        return E(f"{'bool_and' if name == 'every' else name}({cast(a, BOOL, True).sql}){chosen}", BOOL, name)
     if name == "array_agg":
-        return E(f"nullif({_collected(a.sql, d, order)}, array())", T("array", of=a.t), name)
+        return E(f"nullif({_collected(a.sql, d, order, chosen)}, array())", T("array", of=a.t), name)
     if name in ("json_agg", "jsonb_agg"):
         j = json_text(a)
-        return E(f"(CASE WHEN count({a.sql}) > 0 THEN concat('[', array_join({_collected(j, d, order, False)}, ','), ']') END)", JSONB, name)
+        return E(f"(CASE WHEN count({a.sql}){chosen} > 0 THEN concat('[', array_join({_collected(j, d, order, chosen, False)}, ','), ']') END)", JSONB, name)
     if name == "string_agg":
         sep = args[1].sql if len(args) > 1 else "''"
-        return E(f"(CASE WHEN count({a.sql}) > 0 THEN array_join({_collected(text(a), d, order, False)}, {sep}) END)", TEXT, name)
+        return E(f"(CASE WHEN count({a.sql}){chosen} > 0 THEN array_join({_collected(text(a), d, order, chosen, False)}, {sep}) END)", TEXT, name)
     if name in ("json_object_agg", "jsonb_object_agg"):
-        return E(f"to_json(parse_json(concat('{{', array_join(collect_list(concat(substring(to_json(array({text(a)})), 2, length(to_json(array({text(a)}))) - 2), ':', coalesce({json_text(args[1])}, 'null'))), ','), '}}')))", JSONB, name)
+        return E(f"to_json(parse_json(concat('{{', array_join(collect_list(concat(substring(to_json(array({text(a)})), 2, length(to_json(array({text(a)}))) - 2), ':', coalesce({json_text(args[1])}, 'null'))){chosen}, ','), '}}')))", JSONB, name)
     if name in ("bit_and", "bit_or"):
-        return E(f"{name}({a.sql})", a.t, name)
-    return E(f"{name}({d}{', '.join(x.sql for x in args)})", a.t if name == "mode" else FLOAT, name)
+        return E(f"{name}({a.sql}){chosen}", a.t, name)
+    return E(f"{name}({d}{', '.join(x.sql for x in args)}){chosen}", a.t if name == "mode" else FLOAT, name)
 
 
-def _collected(x: str, d: str, order: list[tuple[E, bool]], nulls: bool = True) -> str:
+def _collected(x: str, d: str, order: list[tuple[E, bool]], chosen: str = "", nulls: bool = True) -> str:
     """All values as an array, in order if one is given."""
     if not order:
         if nulls:
-            return f"transform(collect_{'set' if d else 'list'}(named_struct('v', {x})), r -> r.v)"
-        return f"sort_array(collect_set({x}))" if d else f"collect_list({x})"
+            return f"transform(collect_{'set' if d else 'list'}(named_struct('v', {x})){chosen}, r -> r.v)"
+        return f"sort_array(collect_set({x}){chosen})" if d else f"collect_list({x}){chosen}"
     keys = ", ".join(f"{e.sql} AS k{i}" for i, (e, _) in enumerate(order))
     compare = "CASE " + " ".join(f"WHEN a.k{i} IS NULL AND b.k{i} IS NOT NULL THEN {-1 if down else 1} WHEN a.k{i} IS NOT NULL AND b.k{i} IS NULL THEN {1 if down else -1} WHEN a.k{i} < b.k{i} THEN {1 if down else -1} WHEN a.k{i} > b.k{i} THEN {-1 if down else 1}" for i, (_, down) in enumerate(order)) + " ELSE 0 END"
-    got = f"transform(array_sort(collect_{'set' if d else 'list'}(struct({keys}, {x} AS v)), (a, b) -> {compare}), r -> r.v)"
+    got = f"transform(array_sort(collect_{'set' if d else 'list'}(struct({keys}, {x} AS v)){chosen}, (a, b) -> {compare}), r -> r.v)"
     return got if nulls else f"filter({got}, v -> v IS NOT NULL)"

@@ -444,6 +444,38 @@ def array_literal(items: list, t: T) -> str:
     return f"CAST(array({', '.join(cells)}) AS {spark_type(t)})"
 
 
+def variant(sql: str) -> str:
+    """The variant of a JSON text; the one that the text was just made of, if so."""
+    inner = sql[len("to_json(") : -1]
+    if sql.startswith("to_json(") and inner.startswith(("parse_json(", "try_variant_get(")) and _closed(inner):
+        return inner
+    return f"parse_json({sql})"
+
+
+def json_source(sql: str) -> str:
+    """An expression that is null where the JSON text is, without parsing it."""
+    v = variant(sql)
+    return v[len("parse_json(") : -1] if v.startswith("parse_json(") else v
+
+
+def _closed(sql: str) -> bool:
+    """Whether the parenthesis that a call opens closes at its end."""
+    depth, quote, i = 0, "", 0
+    while i < len(sql):
+        c = sql[i]
+        if quote:
+            i += c == "\\"
+            quote = "" if c == quote else quote
+        elif c in "'`\"":
+            quote = c
+        else:
+            depth += (c == "(") - (c == ")")
+            if c == ")" and not depth:
+                return i == len(sql) - 1
+        i += 1
+    return False
+
+
 def json_text(e: E) -> str:
     """JSON text of a value."""
     if e.t.kind in ("json", "jsonb"):

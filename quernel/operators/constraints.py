@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,28 +39,46 @@ def key_columns(engine, t: Table, k: Constraint) -> list[str]:
     return [Lower(engine).ex(e, s).sql for e in k.exprs] if k.exprs else [f"{q(t.name)}.{q(c)}" for c in k.cols]
 
 
-def keyed(engine, t: Table, k: Constraint, rows: DataFrame) -> DataFrame:
-    """Rows that the constraint binds, with key columns __k0, ...; a null key part binds nothing."""
+def keyed(engine, t: Table, k: Constraint, rows: DataFrame, all_rows: bool = False) -> DataFrame:
+    """Rows that the constraint binds, with key columns __k0, ...; a null key part binds nothing. ``all_rows``: the others
+    too, with a null key part."""
     parts = key_columns(engine, t, k)
     df = rows.alias(t.name)
     if k.predicate is not None:
-        df = df.where(Lower(engine).condition(k.predicate, scope_of(t)))
+        held = Lower(engine).condition(k.predicate, scope_of(t))
+        parts = [f"CASE WHEN {held} THEN {p} END" for p in parts]
     df = df.select("*", *[F.expr(p).alias(f"__k{i}") for i, p in enumerate(parts)])
-    return df.dropna(subset=[f"__k{i}" for i in range(len(parts))])
+    return df if all_rows else df.dropna(subset=[f"__k{i}" for i in range(len(parts))])
 
 
 def uniques(t: Table) -> list[Constraint]:
     return [k for k in t.constraints if k.kind in ("primary", "unique")]
 
 
-def check_keys(engine, t: Table, version: DataFrame, rows: DataFrame) -> None:
-    """No key of ``rows`` occurs twice in the new ``version``, which holds them."""
+def check_keys(engine, t: Table, version: DataFrame, rows: DataFrame, sure: Iterable[Constraint] = ()) -> None:
+    """No key of ``rows`` occurs twice in the new ``version``, which holds them; ``sure``: constraints that hold already."""
+    for k in uniques(t):
+        if k not in sure:
+            keys = [f"__k{i}" for i in range(len(k.exprs or k.cols))]
+            touched = keyed(engine, t, k, rows).select(*keys)
+            of = keyed(engine, t, k, version).select(*keys)
+            _refuse(k, of.join(touched, keys, "left_semi").groupBy(*keys).count().where("count > 1").limit(1).collect())
+
+
+def check_new_keys(engine, t: Table, old: DataFrame, rows: DataFrame) -> None:
+    """No key of added ``rows`` occurs twice in them, or in the ``old`` rows."""
     for k in uniques(t):
         keys = [f"__k{i}" for i in range(len(k.exprs or k.cols))]
-        touched = keyed(engine, t, k, rows).select(*keys).distinct()
-        twice = keyed(engine, t, k, version).select(*keys).join(touched, keys, "left_semi").groupBy(*keys).count().where("count > 1").limit(1).collect()
-        if twice:
-            raise Violation(f"duplicate key value violates unique constraint {k.name!r}: {tuple(twice[0])[:-1]}", "23505")
+        new = keyed(engine, t, k, rows).select(*keys)
+        twice = new.groupBy(*keys).count().where("count > 1").select(*keys)
+        known = keyed(engine, t, k, old).select(*keys).join(new, keys, "left_semi")
+        _refuse(k, twice.unionAll(known).limit(1).collect())
+
+
+def _refuse(k: Constraint, found: list) -> None:
+    if found:
+        key = tuple(found[0])[: len(k.exprs or k.cols)]
+        raise Violation(f"duplicate key value violates unique constraint {k.name!r}: {key}", "23505")
 
 
 def check_references(engine, t: Table, rows: DataFrame) -> None:

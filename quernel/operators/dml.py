@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quernel.catalog import Column, Constraint, Table
-from quernel.errors import ColumnNotFound, NotSupported, QueryError, SyntaxProblem, Violation
+from quernel.errors import ColumnNotFound, QueryError, SyntaxProblem, Violation
 from quernel.functions.types import E, cast, lit, q, spark_type
 from quernel.operators import constraints as ck
-from quernel.operators.rows import RID, numbered, with_rids, written
+from quernel.operators.rows import RID, with_rids, written
 from quernel.plans.lower import Lower, Query, Rel, Scope, dedupe
 from quernel.plans.nodes import Node
 
 DEPTH = 6  # changes after which a table's version is written out
 
 
+def repeatable(*texts: str) -> bool:
+    """Whether expressions give the same values whenever they are evaluated: they read only their own row, no clock and no
+    registered function."""
+    return not any(re.search(r"\bSELECT\b|quernel_(fn|op)_|\b(current_|local|now|rand|uuid|shuffle|monotonically)", x) for x in texts)
+
+
 class Changes:
     """Data changes of one engine."""
 
@@ -55,13 +64,17 @@ class Changes:
         if n.conflict is not None:
             return self.upsert(t, n, rows, params, ctes)
         version = t.df.unionByName(rows)
-        self.verify(t, version, rows)
+        self.verify(t, version, rows, added=True)
         self.store(t, version, rows)
         return t, rows, rows
 
-    def verify(self, t: Table, version: DataFrame, rows: DataFrame) -> None:
+    def verify(self, t: Table, version: DataFrame, rows: DataFrame, sure: Iterable[Constraint] = (), added: bool = False) -> None:
+        """Checks ``rows`` of a new version of a table; ``added``: the version is the old rows and these."""
         ck.check_rows(self.engine, t, rows)
-        ck.check_keys(self.engine, t, version, rows)
+        if added:
+            ck.check_new_keys(self.engine, t, t.df, rows)
+        else:
+            ck.check_keys(self.engine, t, version, rows, sure)
         saved = self.engine.state.rels[t.key]
         self.engine.state.rels[t.key] = t.with_(df=version)  # a row may refer to one of its own statement
         try:
@@ -93,7 +106,7 @@ class Changes:
         used = [(i, c) for i, c in enumerate(cols[: len(b.cols)]) if self.given(c, n)]
         lits = [low.literal_column(source, i) if source.kind == "select" else False for i in range(len(b.cols))]
         cells = [f"{cast(E(q(b.cols[i][0]), b.cols[i][1], literal=False), c.t, implicit=not lits[i]).sql} AS {q(c.name)}" for i, c in used]
-        rows = written(self.engine.run(f"SELECT {', '.join(cells) or '1 AS __none'} FROM ({b.sql})"))
+        rows = self.engine.run(f"SELECT {', '.join(cells) or '1 AS __none'} FROM ({b.sql})")
         return self.completed(t, rows, {c.name for _, c in used}, low)
 
     def literal_rows(self, t: Table, n: Node, source: Node, cols: list[Column], low: Lower) -> DataFrame:
@@ -125,22 +138,21 @@ class Changes:
         return self.generated(t, rows, low)
 
     def completed(self, t: Table, rows: DataFrame, have: set[str], low: Lower) -> DataFrame:
-        """Adds defaults, sequence numbers and row identities."""
-        for c in t.cols:
-            if c.name in have or c.generated is not None:
-                continue
-            if c.sequence:
-                seq = self.engine.sequence(c.sequence)
-                first = self.engine.peek(c.sequence)
-                rows, count = numbered(rows, c.name, first, seq.increment)
-                rows = rows.withColumn(c.name, F.col(q(c.name)).cast(spark_type(c.t)))
-                if count:
-                    self.engine.set_value(c.sequence, first + seq.increment * (count - 1))
-            else:
+        """Adds defaults, sequence numbers and row identities, and writes the rows: each value is made once."""
+        missing = [c for c in t.cols if c.name not in have and c.generated is None]
+        numbers = [c for c in missing if c.sequence]
+        rows = self.numbers(written(rows), [(c, c.sequence) for c in numbers]) if numbers else rows
+        for c in missing:
+            if not c.sequence:
                 e = cast(low.ex(c.default, Scope()), c.t).sql if c.default is not None else "NULL"
                 rows = rows.withColumn(c.name, F.expr(f"CAST({e} AS {spark_type(c.t)})"))
-        rows = with_rids(rows.drop("__none"))
-        return self.generated(t, rows, low)
+        return written(self.generated(t, with_rids(rows.drop("__none")), low))
+
+    def numbers(self, rows: DataFrame, columns: list[tuple[Column, tuple[str, str]]]) -> DataFrame:
+        """Written rows with a next value of a sequence in each of these columns."""
+        for c, sequence in columns:
+            rows = self.engine.next_values(rows, c.name, sequence).withColumn(c.name, F.col(q(c.name)).cast(spark_type(c.t)))
+        return rows
 
     def generated(self, t: Table, rows: DataFrame, low: Lower) -> DataFrame:
         s, out = ck.scope_of(t), rows.alias(t.name)
@@ -168,63 +180,68 @@ class Changes:
         return got[:1]
 
     def upsert(self, t: Table, n: Node, rows: DataFrame, params, ctes) -> tuple[Table, DataFrame, DataFrame]:
-        c, fresh = n.conflict, rows
-        keys = self.arbiters(t, c)
-        hits = None
-        for k in keys:
-            names = [f"__k{i}" for i in range(len(k.exprs or k.cols))]
-            mine = ck.keyed(self.engine, t, k, fresh)
-            w = Window.partitionBy(*names).orderBy(RID)
-            later = mine.withColumn("__n", F.row_number().over(w)).where("__n > 1").select(RID)
-            if c.action == "update":
-                if later.limit(1).collect():
-                    raise QueryError("ON CONFLICT DO UPDATE command cannot affect row a second time", "21000")
-                old = ck.keyed(self.engine, t, k, t.df).select(*names, F.col(RID).alias("__old"))
-                hits = mine.select(*names, F.col(RID).alias("__new")).join(old, names).select("__new", "__old")
-            present = ck.keyed(self.engine, t, k, t.df).select(*names)
-            known = mine.join(present, names, "left_semi").select(RID)
-            fresh = fresh.join(known.unionAll(later), RID, "left_anti").select(*rows.columns)
-        fresh = written(fresh)
-        if c.action == "nothing":
+        keys = self.arbiters(t, n.conflict)
+        if n.conflict.action == "nothing":
+            fresh = rows
+            for k in keys:
+                names = [f"__k{i}" for i in range(len(k.exprs or k.cols))]
+                first = F.row_number().over(Window.partitionBy(*names).orderBy(RID)) == 1
+                unbound = F.array_contains(F.array(*[F.col(x).isNull() for x in names]), True)
+                mine = ck.keyed(self.engine, t, k, fresh, all_rows=True).withColumn("__first", first | unbound).where("__first")
+                fresh = mine.join(ck.keyed(self.engine, t, k, t.df).select(*names), names, "left_anti").select(*rows.columns)
+            fresh = written(fresh)
             version = t.df.unionByName(fresh)
-            self.verify(t, version, fresh)
+            self.verify(t, version, fresh, keys)
             self.store(t, version, fresh)
             return t, fresh, fresh
-        low, alias = self.low(params, ctes), n.alias or t.name
+        (k,), low, alias = keys, self.low(params, ctes), n.alias or t.name
+        names = [f"__k{i}" for i in range(len(k.exprs or k.cols))]
+        mine = ck.keyed(self.engine, t, k, rows)
+        if mine.groupBy(*names).count().where("count > 1").limit(1).collect():
+            raise QueryError("ON CONFLICT DO UPDATE command cannot affect row a second time", "21000")
         s = Scope([Rel(alias, [(x.name, x.t) for x in t.cols]), Rel("excluded", [(x.name, x.t) for x in t.cols])])
         s.merged = {x.name: (f"{q(alias)}.{q(x.name)}", x.t) for x in t.cols}
-        pairs = hits.join(t.df.withColumnRenamed(RID, "__old"), "__old").alias(alias)
-        both = pairs.join(rows.alias("excluded"), F.col(f"{q(alias)}.__new") == F.col(f"excluded.{RID}"))
-        where = low.condition(c.where, s) if c.where is not None else "true"
-        sets = self.setters(t, c.sets, low, s)
-        cells = [F.expr(f"{sets[x.name]} AS {q(x.name)}") if x.name in sets else F.expr(f"{q(alias)}.{q(x.name)} AS {q(x.name)}") for x in t.cols]
-        changed = written(self.generated(t, both.where(where).select(*cells, F.col(f"{q(alias)}.__old").alias(RID)), low))
+        where = low.condition(n.conflict.where, s) if n.conflict.where is not None else "true"
+        sets, numbers = self.setters(t, n.conflict.sets, low, s)
+        both = ck.keyed(self.engine, t, k, t.df).alias(alias).join(mine.alias("excluded"), [F.col(f"{q(alias)}.{x}") == F.col(f"excluded.{x}") for x in names])
+        old = {x.name: f"{q(alias)}.{q(x.name)}" for x in t.cols}
+        cells = [F.expr((f"CASE WHEN {where} THEN {sets[x]} ELSE {c} END" if x in sets else c) + f" AS {q(x)}") for x, c in old.items()]
+        # each new row that meets an old one, whether WHERE changes that, and how
+        met = written(both.select(*cells, F.col(f"{q(alias)}.{RID}").alias(RID), F.col(f"excluded.{RID}").alias("__new"), F.expr(where).alias("__do")))
+        fresh = rows.join(met.select(F.col("__new").alias(RID)), RID, "left_anti").select(*rows.columns)
+        changed = met.where("__do").drop("__new", "__do")
+        if numbers:
+            changed = written(self.numbers(written(changed), numbers))
+        changed = self.generated(t, changed, low)
         version = t.df.join(changed.select(RID), RID, "left_anti").select(*t.df.columns).unionByName(changed).unionByName(fresh)
         affected = changed.unionByName(fresh)
-        self.verify(t, version, affected)
+        self.verify(t, version, affected, [k] if k.cols and not set(k.cols) & set(sets) and k.predicate is None else [])
         self.cascade_update(t, changed, version)
         self.store(t, version, affected)
         return t, affected, affected
 
     # ---- update
 
-    def setters(self, t: Table, sets: list[tuple[str, Node]], low: Lower, s: Scope) -> dict[str, str]:
-        out = {}
+    def setters(self, t: Table, sets: list[tuple[str, Node]], low: Lower, s: Scope) -> tuple[dict[str, str], list[tuple[Column, tuple[str, str]]]]:
+        """The new value of each column that is set, and the columns that take the next value of a sequence in each row."""
+        out, numbers = {}, []
         for name, e in sets:
             c = t.col(name)
             if c is None:
                 raise ColumnNotFound(f"column {name!r} of relation {t.name!r} does not exist")
             if c.generated is not None and e.kind != "default":
                 raise QueryError(f"column {name!r} can only be updated to DEFAULT", "428C9")
+            sequence = c.sequence if e.kind == "default" else self.engine.definitions.nextval_of(e)
+            if sequence:
+                numbers.append((c, sequence))
+                out[name] = f"CAST(NULL AS {spark_type(c.t)})"
+                continue
             if e.kind == "default":
-                if c.sequence:
-                    out[name] = str(self.engine.next_value(c.sequence))
-                    continue
                 e = c.default or Node("null")
             low.typed_param(e, c.t)
             x = low.ex(e, s)
             out[name] = f"CAST({cast(x, c.t, implicit=not x.literal).sql} AS {spark_type(c.t)})"
-        return out
+        return out, numbers
 
     def update(self, n: Node, params, ctes) -> tuple[Table, DataFrame, DataFrame]:
         t, low = self.target(n.table), self.low(params, ctes)
@@ -232,17 +249,24 @@ class Changes:
         s = low.sources(n.sources or [], None)
         low.add(s, alias, [(c.name, c.t) for c in t.cols])
         where = low.condition(n.where, s) if n.where is not None else "true"
-        sets = self.setters(t, n.sets, low, s)
+        sets, numbers = self.setters(t, n.sets, low, s)
         cells = [f"{sets.get(c.name, f'{q(alias)}.{q(c.name)}')} AS {q(c.name)}" for c in t.cols]
         own = f"{t.view} AS {q(alias)}"
+        direct = not s.sql and not numbers and all(c.generated is None for c in t.cols) and repeatable(where, *sets.values())
         extra = [f"{q(r.alias)}.{q(c)} AS {q(f'__f_{r.alias}_{c}')}" for r in s.rels if r.alias != alias for c, _ in r.cols]
         source = f"{s.sql} CROSS JOIN {own}" if s.sql else own
         found = self.engine.run(f"SELECT {', '.join([*cells, *extra])}, {q(alias)}.{RID} FROM {source} WHERE {where}")
         if s.sql:  # a row that several match takes one of them
             found = found.dropDuplicates([RID])
         found = written(found)
+        if numbers:
+            found = written(self.numbers(found, numbers))
         changed = self.generated(t, found, low)
-        version = t.df.join(changed.select(RID), RID, "left_anti").select(*t.df.columns).unionByName(changed)
+        if direct:  # one projection of the table; a join on row identities only where the new values cannot be told again
+            new = [f"CASE WHEN {where} THEN {sets[c.name]} ELSE {q(alias)}.{q(c.name)} END AS {q(c.name)}" if c.name in sets else f"{q(alias)}.{q(c.name)}" for c in t.cols]
+            version = self.engine.run(f"SELECT {', '.join(new)}, {q(alias)}.{RID} FROM {own}")
+        else:
+            version = t.df.join(changed.select(RID), RID, "left_anti").select(*t.df.columns).unionByName(changed)
         self.verify(t, version, changed)
         self.cascade_update(t, changed, version)
         self.store(t, version, changed)
@@ -259,32 +283,35 @@ class Changes:
         own = f"{t.view} AS {q(alias)}"
         source = f"{s.sql} CROSS JOIN {own}" if s.sql else own
         gone = self.engine.run(f"SELECT {q(alias)}.* FROM {source} WHERE {where}")
+        if not s.sql and repeatable(where):
+            left = self.engine.run(f"SELECT {q(alias)}.* FROM {own} WHERE NOT coalesce({where}, false)")
+            self.remove(t, gone, left)
+            return t, gone, gone
         if s.sql:
             gone = gone.dropDuplicates([RID])
         gone = written(gone)
         self.remove(t, gone)
         return t, gone, gone
 
-    def remove(self, t: Table, gone: DataFrame) -> None:
-        """Drops rows, and does what references to them ask for."""
+    def remove(self, t: Table, gone: DataFrame, left: DataFrame | None = None) -> None:
+        """Drops rows, and does what references to them ask for. ``left``: the other rows, if known."""
         t = self.engine.state.get(*t.key, "table")
-        version = t.df.join(gone.select(RID), RID, "left_anti").select(*t.df.columns)
+        version = left if left is not None else t.df.join(gone.select(RID), RID, "left_anti").select(*t.df.columns)
         self.store(t, version, gone)
         self.cascade(t, gone, version, "on_delete")
 
     def truncate(self, n: Node) -> None:
-        if len(n.tables) > 1:
-            raise NotSupported("TRUNCATE of several tables")
-        t = self.target(n.tables[0])
-        children = [c for c, k in self.referrers(t) if c.key != t.key]
-        if children and not n.cascade:
+        todo, emptied = [self.target(name) for name in n.tables], {}
+        while todo:
+            t = todo.pop()
+            emptied[t.key] = t
+            todo += [c for c, _ in self.referrers(t) if n.cascade and c.key not in emptied]
+        if any(c.key not in emptied for t in emptied.values() for c, _ in self.referrers(t)):
             raise QueryError("cannot truncate a table referenced in a foreign key constraint", "0A000")
-        for c in children:
-            self.truncate(Node("truncate", tables=[c.key], cascade=True, restart=n.restart))
-        self.store(t, t.df.limit(0), None)
-        if n.restart:
+        for t in emptied.values():
+            self.store(t, t.df.limit(0), None)
             for c in t.cols:
-                if c.sequence:
+                if n.restart and c.sequence:
                     self.engine.reset(c.sequence)
 
     # ---- references

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,21 +11,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RID = "__rid"
+_runs: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one, in local mode only: on a cluster each
+    executor would write to its own disk."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="quernel-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="quernel-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    context.setCheckpointDir(f"file://{made}")
+    return f"file://{made}"
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; deleted when the driver exits."""
+    parent = shared_dir(spark)
+    path = f"{parent}/quernel-{spark.sparkContext.applicationId}"
+    if path not in _runs:
+        _runs.add(path)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        # the JVM outlives Python's own exit handlers, so it is the one to delete
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: evaluated once, whatever reads it later."""
-    path = f"{shared_dir(df.sparkSession)}/quernel-table-{uuid.uuid4().hex}"
+    """``df`` as a Parquet table in the shared folder: evaluated once, whatever reads it later and whichever executors are
+    lost."""
+    path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

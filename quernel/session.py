@@ -19,7 +19,7 @@ from quernel.functions import helpers
 from quernel.functions.types import BIGINT, NUMBERS, SYNONYMS, TEXT, E, T, cast, from_spark_type, lit, literal, q, spark_type
 from quernel.operators.ddl import Definitions
 from quernel.operators.dml import Changes
-from quernel.operators.rows import RID, with_rids, written
+from quernel.operators.rows import RID, numbered, with_rids, written
 from quernel.plans.lower import Lower, Query
 from quernel.plans.nodes import Node, rewrite
 from quernel.plans.parser import parse
@@ -282,6 +282,17 @@ class Engine:
     def none(self, text: str, args: list | None = None) -> None:
         self.query(text, args)
 
+    def together(self, scripts: Iterable[tuple[str, list | None]]) -> None:
+        """Runs scripts one after another; an error undoes all of them."""
+        before, stack = self.state.copy(), list(self.stack)
+        try:
+            for text, args in scripts:
+                if text.strip():
+                    self.none(text, args)
+        except Exception:
+            self.state, self.stack = before, stack
+            raise
+
     def explain(self, n: Node | str, args: list | None = None) -> str:
         """Spark's formatted plan of a query."""
         n = parse(n)[-1] if isinstance(n, str) else n
@@ -309,7 +320,8 @@ class Engine:
             kinds = ", ".join([*(f"CAST(NULL AS {spark_type(c.t)}) AS {q(c.name)}" for c in t.cols), f"CAST(NULL AS STRING) AS {RID}"])
             df = self.spark.createDataFrame([], self.spark.sql(f"SELECT {kinds}").schema)
         elif RID not in df.columns:
-            df = with_rids(df)
+            # identities must not differ between two evaluations of the rows
+            df = written(with_rids(df))
         t = t.with_(df=df, view=self.view_of(df), depth=depth)
         self.state.put(t, True)
         return t
@@ -337,7 +349,7 @@ class Engine:
         self.later[name] = path
 
     def load(self, name: str, df: DataFrame, primary: list[str] | None = None) -> None:
-        """A writable table that starts with the rows of a DataFrame, which stay where they are."""
+        """A writable table that starts with the rows of a DataFrame, written once."""
         cols = tuple(Column(f.name, from_spark_type(f.dataType)) for f in df.schema.fields)
         keys = (Constraint("primary", f"{name}_pkey", tuple(primary)),) if primary else ()
         self.create(Table("public", name, cols, keys), self.adopted(df))
@@ -638,6 +650,20 @@ class Engine:
         self.set_value(key, n)
         return n
 
+    def next_values(self, rows: DataFrame, name: str, key: tuple[str, str]) -> DataFrame:
+        """Written rows with the column ``name`` set to a next value each; the sequence moves on by as many."""
+        s, first = self.sequence(key), self.peek(key)
+        out, count = numbered(rows, name, first, s.increment)
+        if not count:
+            return out
+        last = first + s.increment * (count - 1)
+        if s.most is not None and last > s.most or s.least is not None and last < s.least:
+            if s.cycle:
+                raise NotSupported("a cycling sequence that starts anew within one statement")
+            raise QueryError(f"nextval: reached {'maximum' if s.increment > 0 else 'minimum'} value of sequence {s.name!r}", "2200H")
+        self.set_value(key, last)
+        return out
+
     def set_value(self, key: tuple[str, str], n: int | None) -> None:
         self.state.put(replace(self.sequence(key), value=n), True)
         self.last_sequence = key
@@ -646,14 +672,18 @@ class Engine:
     def reset(self, key: tuple[str, str]) -> None:
         self.state.put(replace(self.sequence(key), value=None), True)
 
+    def sequence_key(self, args: list[E]) -> tuple[str, str]:
+        s = self.named_sequence(str(args[0].value if args[0].value is not None else args[0].sql.strip("'")))
+        return (s.schema, s.name)
+
     def sequence_call(self, name: str, args: list[E]) -> E:
-        """nextval, currval, lastval and setval act on the driver, once for a statement's mention of them."""
+        """nextval, currval, lastval and setval on the driver, once; nextval over rows is numbered before (``Lower.q_select``)."""
         if name == "lastval":
             if not self.last_sequence:
                 raise QueryError("lastval is not yet defined in this session", "55000")
             return E(f"{self.sequence(self.last_sequence).value}L", BIGINT, name)
-        s = self.named_sequence(str(args[0].value if args[0].value is not None else args[0].sql.strip("'")))
-        key = (s.schema, s.name)
+        key = self.sequence_key(args)
+        s = self.sequence(key)
         if name == "nextval":
             return E(f"{self.next_value(key)}L", BIGINT, name)
         if name == "currval":

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernel.errors import QueryError
 from quernel.session import Engine
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -125,6 +126,13 @@ SELECTS: dict[str, tuple[str, str | None]] = {
     "array_ops": ("select n_nationkey, (array[n_nationkey, n_regionkey, 7])[2] as second, (array[1, 2])[5] as beyond, array[n_regionkey] && array[1, 2] as overlap, n_regionkey = any(array[0, 3]) as among, array_length(array[1, 2, 3], 1) as n from nation", "select n_nationkey, n_regionkey as second, null::int as beyond, n_regionkey in (1, 2) as overlap, n_regionkey in (0, 3) as among, 3 as n from nation"),
     "json_access": ("select event_id, (props::jsonb->>'k')::int as k, props::jsonb->'none' is null as absent, (props::jsonb->'k')::text as t from events", "select event_id, (props->>'k')::int as k, (props->'none') is null as absent, props->>'k' as t from events"),
     "json_contains": ("select event_id from events where props::jsonb @> '{\"k\": 3}'", "select event_id from events where (props->>'k')::int = 3"),
+    "agg_filter_collect": ("select o_orderstatus, (array_agg(o_orderkey order by o_orderkey) filter (where o_totalprice > 300000))[1] as big, string_agg(o_orderpriority, ',' order by o_orderkey) filter (where o_orderkey < 40) as p from orders group by o_orderstatus", "select o_orderstatus, (list(o_orderkey order by o_orderkey) filter (where o_totalprice > 300000))[1] as big, string_agg(o_orderpriority, ',' order by o_orderkey) filter (where o_orderkey < 40) as p from orders group by o_orderstatus"),
+    "join_natural": ("select k, a, b from (select n_nationkey as k, n_name as a from nation) x natural join (select r_regionkey as k, r_name as b from region) y", None),
+    "join_lateral": ("select r_name, t.n from region, lateral (select count(*) as n from nation where n_regionkey = r_regionkey) t", None),
+    "to_date_parse": ("select to_date('2024-03-0' || (1 + r_regionkey), 'YYYY-MM-DD')::text as d from region", "select (date '2024-03-01' + r_regionkey)::date::text as d from region"),
+    "now_ordering": ("select now() is not null as a, current_date >= date '2024-01-01' as b, current_timestamp <= now() as c", "select true as a, true as b, true as c"),
+    "json_order": ("select event_id from events where event_id < 200 order by props::jsonb->'k', event_id limit 20", "select event_id from events where event_id < 200 order by (props->>'k')::int, event_id limit 20"),
+    "for_update": ("select r_name from region where r_regionkey = 1 for update", "select r_name from region where r_regionkey = 1"),
     "json_edit": ("select event_id, (props::jsonb - 'k')::text as minus from events where event_id < 50", "select event_id, '{}' as minus from events where event_id < 50"),
     "window_rank": ("select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn, rank() over (partition by o_orderstatus order by o_orderpriority) as rk, sum(o_custkey) over (partition by o_orderstatus) as s from orders where o_orderkey < 3000", "select o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn, rank() over (partition by o_orderstatus order by o_orderpriority) as rk, (sum(o_custkey) over (partition by o_orderstatus))::bigint as s from orders where o_orderkey < 3000"),
     "record_value": ("select (n).n_name as name from nation n", "select n_name as name from nation"),
@@ -155,6 +163,16 @@ SCRIPTS: dict[str, tuple[str, str]] = {
     "table_function": ("create function of_region(k int) returns table (key int, label text) as $$ select n_nationkey, n_name from nation where n_regionkey = k $$ language sql; select * from of_region(3) where key > 5", "select n_nationkey as key, n_name as label from nation where n_regionkey = 3 and n_nationkey > 5"),
     "sequences": ("create sequence s start 5 increment 3; select nextval('s') as a; select nextval('s') as b; select setval('s', 100) as c; select nextval('s') as d, currval('s') as e", "select 103::bigint as d, 103::bigint as e"),
     "enum_type": ("create type mood as enum ('sad', 'ok', 'happy'); create table m (id int, v mood); insert into m values (1, 'happy'), (2, 'sad'); select id, v::text as label from m order by v limit 1", "select 2 as id, 'sad' as label"),
+    "dml_delete_using": ("create table n as select * from nation; delete from n using region r where r.r_regionkey = n.n_regionkey and r.r_name like 'A%'; select n_nationkey from n", "select n_nationkey from nation join region on n_regionkey = r_regionkey where r_name not like 'A%'"),
+    "dml_truncate_several": ("create table a as select * from nation; create table b as select * from region; truncate a, b; select (select count(*) from a) as a, (select count(*) from b) as b", "select 0::bigint as a, 0::bigint as b"),
+    "dml_update_default": ("create table t (id serial primary key, k int); insert into t (k) select n_nationkey from nation; update t set id = default where k < 10; select count(*) as n, count(distinct id) as ids, max(id) as top from t", "select count(*) as n, count(*) as ids, (count(*) + 10)::int as top from nation"),
+    "dml_default_stable": ("create table t (k int, at timestamptz default now()); insert into t (k) select n_nationkey from nation; alter table t add column later timestamptz default now(); select count(distinct at) as a, count(distinct later) as b, bool_and(at < later) as c, bool_and(later < now()) as d from t", "select 1::bigint as a, 1::bigint as b, true as c, true as d"),
+    "sequence_rows": ("create sequence s start 5 increment 3; select min(v) as low, max(v) as high, count(distinct v) as n, sum(v) as s from (select 1 as one) x, (select 2 as two) y, (select 0 as v) z; create table t as select nextval('s') as v, n_nationkey as k from nation; select min(v) as low, max(v) as high, count(distinct v) as n from t", "select 5::bigint as low, (5 + 3 * (count(*) - 1))::bigint as high, count(*) as n from nation"),
+    "identity_columns": ("create table t (id int generated by default as identity (start with 10 increment by 5), v int); insert into t (v) select r_regionkey from region; insert into t values (1, 99); select count(*) as n, min(id) as low, max(id) as high from t", "select count(*) + 1 as n, 1 as low, (10 + 5 * (count(*) - 1))::int as high from region"),
+    "index_metadata": ("create table t as select * from nation; create unique index u on t (n_nationkey); create index i on t (lower(n_name)) where n_regionkey > 1; insert into t values (0, 'x', 1) on conflict (n_nationkey) do nothing; drop index u; insert into t values (0, 'x', 1); select count(*) as n from t where n_nationkey = 0", "select 2::bigint as n"),
+    "schemas_and_comments": ("create schema other; create table other.t (a int); insert into other.t select r_regionkey from region; comment on table other.t is 'rows'; create table if not exists other.t (b text); drop table if exists nothing_here; alter table other.t rename to u; select a from other.u", "select r_regionkey as a from region"),
+    "settings": ("set search_path to public; set x = 'y'; select set_config('x', 'z', false) as z, current_user as u, current_schema as s", "select 'z' as z, 'user' as u, 'public' as s"),
+    "drop_function": ("create function f(x int) returns int as 'select x + 1' language sql; create function f(x text) returns text as $$ select x || '!' $$ language sql; drop function f(text); select n_nationkey, f(n_nationkey) as r from nation", "select n_nationkey, n_nationkey + 1 as r from nation"),
 }
 
 
@@ -193,9 +211,59 @@ def python_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql("select n_nationkey, shout(n_name) as s, 'ab' # 2 as r from nation")
 
 
+def dml_load_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a table loaded from rows that come out of a shuffle."""
+    e = engine(spark, sf_dir)
+    e.load("o", e.sql("select o_custkey as k, count(*) as n from orders group by o_custkey").repartition(7))
+    e.none("delete from o where k % 7 = 0; update o set n = n + 100 where k % 7 = 1")
+    return e.sql("select k, n from o")
+
+
+def migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps applied, one undone, one that fails half-way."""
+    e = engine(spark, sf_dir)
+    steps = [
+        {"id": 1, "name": "a", "up": "create table t (k int, v text)", "down": "drop table t"},
+        {"id": 2, "name": "b", "up": "insert into t select r_regionkey, r_name from region", "down": "delete from t"},
+        {"id": 3, "name": "c", "up": "delete from t where k > 2", "down": "insert into t values (100, 'undone')"},
+    ]
+    e.migrate(steps)
+    e.migrate(steps[:2])
+    try:
+        e.migrate([*steps[:2], {"id": 4, "name": "d", "up": "delete from t; insert into nowhere values (1)", "down": ""}])
+    except QueryError:
+        pass
+    return e.sql("select k, v, (select count(*) from migrations) as steps from t")
+
+
+def table_api(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows put in and found as objects."""
+    e = engine(spark, sf_dir)
+    t = e.declare_table("t", [{"name": "id", "type": "serial", "constraints": ["primary key"]}, {"name": "j", "type": "jsonb"}])
+    for k in range(3):
+        t.insert({"j": {"k": k, "odd": k % 2 == 1}})
+    found = t.find({"j": {"odd": False}}, ["id"])
+    return spark.createDataFrame([(r["id"],) for r in found], "id int")
+
+
+def overloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overloads by argument type, a language, an extension."""
+    e = engine(spark, sf_dir)
+    e.register_function("kind", ["int"], "text", lambda x: f"int {x}")
+    e.register_function("kind", ["text"], "text", lambda x: f"text {x}")
+    e.register_language("shout", lambda code, names, returns: lambda x: x.upper() + code.strip())
+    e.register_extension("more", lambda db: db.register_function("more", ["int"], "int", lambda x: x + 1))
+    e.none("create extension more; create function loud(x text) returns text as '!' language shout")
+    return e.sql("select n_nationkey, kind(n_nationkey) as a, kind(n_name) as b, loud(n_name) as c, more(n_nationkey) as d from nation")
+
+
 PYTHON: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "snapshot_restore": (snapshot_restore, "select count(*) as n from nation"),
     "prepared_query": (prepared_query, "select o_orderkey from orders where o_orderstatus = 'F' and o_totalprice > 1500"),
+    "dml_load_delete": (dml_load_delete, "select o_custkey as k, count(*) + case when o_custkey % 7 = 1 then 100 else 0 end as n from orders where o_custkey % 7 <> 0 group by o_custkey"),
+    "migrations": (migrations, "select r_regionkey as k, r_name as v, 2::bigint as steps from region where r_regionkey <= 2 union all select 100, 'undone', 2"),
+    "table_api": (table_api, "select 1 as id union all select 3"),
+    "overloads": (overloads, "select n_nationkey, 'int ' || n_nationkey as a, 'text ' || n_name as b, upper(n_name) || '!' as c, n_nationkey + 1 as d from nation"),
     "python_function": (python_function, "select n_nationkey, upper(n_name) || '!' as s, 'abab' as r from nation"),
 }
 

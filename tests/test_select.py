@@ -91,3 +91,17 @@ def test_filters_reach_the_scan(db, spark, tmp_path):
     plan = db.explain("select v from t where k > 5 and k < 9")
     assert "PushedFilters: [IsNotNull(k), GreaterThan(k,5), LessThan(k,9)]" in plan and "struct<k:bigint,v:bigint>" in plan
     assert sorted(r["v"] for r in db.many("select v from t where k > 5 and k < 9")) == [12, 14, 16]
+
+
+def test_filter_on_collecting_aggregates(db):
+    q = "select array_agg(a order by a desc) filter (where a > 1) as x, string_agg(a::text, ',' order by a) filter (where a < 3) as y, jsonb_agg(a) filter (where a = 2) as z, json_object_agg(a::text, a) filter (where a = 3) as w, array_agg(a) filter (where a > 9) as none from (values (1), (2), (3)) t(a)"
+    assert db.one(q) == {"x": [3, 2], "y": "1,2", "z": [2], "w": {"3": 3}, "none": None}
+
+
+def test_json_containment(db):
+    yes = [("{\"a\": [1, {\"b\": 2}]}", "{\"a\": [{\"b\": 2}]}"), ("[1, 2]", "1"), ("{\"a\": 1}", "{}"), ("{\"a\": null}", "{\"a\": null}"), ("9007199254740993", "9007199254740993"), ("1.0", "1")]
+    no = [("{\"a\": 1}", "{\"a\": \"1\"}"), ("{\"a\": 1}", "[]"), ("[1]", "{}"), ("9007199254740993", "9007199254740992"), ("{\"a\": {\"b\": 1}}", "{\"b\": 1}"), ("1.0000000001", "1")]
+    for pairs, want in ((yes, True), (no, False)):
+        for x, y in pairs:
+            assert db.one(f"select '{x}'::jsonb @> '{y}' as v") == {"v": want}, (x, y)
+    assert db.one("select null::jsonb @> '{}' as v") == {"v": None}

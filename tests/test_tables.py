@@ -223,12 +223,92 @@ def test_settings_comments_and_ignored(db):
     assert code(db, "show nope") == "42704"
 
 
-def test_migrations(db):
-    steps = [{"id": 1, "name": "a", "up": "create table t (a int)", "down": "drop table t"}, {"id": 2, "name": "b", "up": "insert into t values (1)", "down": "delete from t"}]
-    assert db.migrate(steps) == [1, 2]
-    assert db.migrate(steps[:1]) == [1]
+STEPS = [
+    {"id": 1, "name": "a", "up": "create table t (a int)", "down": "drop table t"},
+    {"id": 2, "name": "b", "up": "insert into t values (1)", "down": "delete from t"},
+    {"id": 4, "name": "c", "up": "insert into t values (2)", "down": "delete from t where a = 2"},
+]
+
+
+def test_migrations_run_and_are_undone(db):
+    assert db.migrate(STEPS) == [1, 2, 4]
+    assert db.migrate(STEPS) == [1, 2, 4]
+    assert db.migrate(STEPS[:2]) == [1, 2]  # what is gone is undone
+    assert db.many("select * from t") == [{"a": 1}]
+    assert db.migrate(STEPS) == [1, 2, 4]
+    db.none("insert into t values (2)")
+    assert db.migrate(STEPS, force=True) == [1, 2, 4]  # the last step runs anew
+    assert sorted(r["a"] for r in db.many("select a from t")) == [1, 2]
+
+
+def test_migrations_changed_scripts_stay_as_they_ran(db):
+    db.migrate(STEPS)
+    changed = [STEPS[0], STEPS[1] | {"up": "insert into t values (77)", "down": "insert into t values (88)"}, STEPS[2]]
+    assert db.migrate(changed) == [1, 2, 4]
+    assert db.migrate(changed[:1]) == [1]  # undone with the scripts that were recorded
     assert db.many("select * from t") == []
-    assert db.migrate(steps) == [1, 2]
+
+
+def test_migrations_fail_whole(db):
+    db.migrate(STEPS[:2])
+    with pytest.raises(QueryError):
+        db.migrate([*STEPS[:2], {"id": 3, "name": "x", "up": "insert into t values (9); insert into nowhere values (1)", "down": ""}])
+    assert db.many("select * from t") == [{"a": 1}]
+    assert [r["id"] for r in db.many("select id from migrations order by id")] == [1, 2]
+    with pytest.raises(QueryError):
+        db.migrate([])
+    with pytest.raises(QueryError):
+        db.migrate([STEPS[0], STEPS[0]])
+
+
+def test_migrations_from_files(db, tmp_path):
+    (tmp_path / "001-first.sql").write_text("-----\n-- Up\n-----\ncreate table t (v text);\n-----\n-- Down\n-----\ndrop table t;\n")
+    (tmp_path / "002-second.sql").write_text("insert into t values ('--BEGIN\n-----\n\n--END');")
+    (tmp_path / "notes.sql").write_text("not a migration")
+    assert db.migrate(str(tmp_path)) == [1, 2]
+    assert db.many("select v from t") == [{"v": "--BEGIN\n-----\n\n--END"}]
+    assert db.many("select name from migrations order by id") == [{"name": "first"}, {"name": "second"}]
+
+
+def test_loaded_rows_keep_their_identity(db, spark):
+    from pyspark.sql import functions as F
+
+    shuffled = spark.range(2000).select((F.col("id") % 90).alias("k"), F.col("id").alias("v")).groupBy("v").agg(F.max("k").alias("k")).repartition(5)
+    db.load("t", shuffled)
+    db.none("delete from t where k % 7 = 0; update t set k = -1 where k % 7 = 1")
+    assert db.one("select count(*) as n from t") == {"n": sum((i % 90) % 7 != 0 for i in range(2000))}
+    assert db.one("select count(*) as n from t where k % 7 = 0 or k % 7 = 1") == {"n": 0}
+
+
+def test_values_are_made_once(db):
+    db.none("create table s (a int); insert into s values (1), (2), (3)")
+    db.none("create table t (id serial primary key, a int, at timestamptz default now(), r float default random()); insert into t (a) select a from s")
+    db.none("alter table t add column later timestamptz default now()")
+    first = db.many("select id, at, r, later from t order by id")
+    assert db.many("select id, at, r, later from t order by id") == first
+    assert len({r["at"] for r in first}) == len({r["later"] for r in first}) == 1
+    db.none("update t set id = default")
+    assert sorted(r["id"] for r in db.many("select id from t")) == [4, 5, 6]
+    db.none("create sequence q start 10 maxvalue 30 increment 5; update t set a = nextval('q')")
+    assert sorted(r["a"] for r in db.many("select a from t")) == [10, 15, 20]
+    assert sorted(r["v"] for r in db.many("select nextval('q') + a as v from s where a > 1")) == [27, 33]
+    assert code(db, "select nextval('q') from s") == "2200H"
+
+
+def test_updates_fail_at_once_and_read_their_row(db):
+    db.none("create table t (a int, b int); insert into t values (1, 10), (0, 20), (null, 30)")
+    assert code(db, "update t set b = 1 / a where a = 0") == "22012"
+    db.none("update t set a = b, b = a where a > 0; delete from t where a = 0 or b = 7")
+    assert sorted(db.many("select * from t"), key=str) == [{"a": 10, "b": 1}, {"a": None, "b": 30}]
+    db.none("update t set b = (select max(b) from t) where a in (select a from t)")
+    assert db.many("select b from t where a = 10") == [{"b": 30}]
+
+
+def test_truncate_several(db):
+    db.none("create table p (id int primary key); create table c (p int references p); insert into p values (1); insert into c values (1)")
+    assert code(db, "truncate p") == "0A000"
+    db.none("truncate p, c; insert into p values (1); insert into c values (1); truncate p cascade")
+    assert db.many("select * from c") == []
 
 
 def test_many_changes_keep_plans_short(db):

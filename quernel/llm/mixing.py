@@ -17,10 +17,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm.shared import table
+from quernel.llm.shared import materialize, table
 
 PIECE = 8.0
 TERMS = 64
+SOURCES = 100_000  # rates that are broadcast at most; a rate takes under 1 KB
+SALTS = 64
 
 
 def hashed(*parts: Column) -> Column:
@@ -31,7 +33,7 @@ def hashed(*parts: Column) -> Column:
 def source_rates(docs: DataFrame, source: str = "source", text: str = "text", weights: Mapping[str, float] | None = None, temperature: float = 2.0, repeat: float = 1.0) -> DataFrame:
     """Per source: rate of repetition. ``weights``: target share of each source (others: none); without it a source's
     share follows its size to the power 1/temperature. ``repeat``: size of the output relative to the input."""
-    sizes = docs.groupBy(F.col(source).alias("__source")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0))).cast("double").alias("__bytes"), F.count("*").cast("double").alias("__rows"))
+    sizes = materialize(docs.groupBy(F.col(source).alias("__source")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0))).cast("double").alias("__bytes"), F.count("*").cast("double").alias("__rows")))
     if weights is None:
         target = F.pow("__bytes", F.lit(1.0 / temperature))
     else:
@@ -40,7 +42,7 @@ def source_rates(docs: DataFrame, source: str = "source", text: str = "text", we
     sizes = sizes.withColumn("__target", target)
     total = sizes.agg(F.sum("__bytes").alias("__all"), F.sum("__target").alias("__targets"))
     rate = F.when((F.col("__bytes") > 0) & (F.col("__targets") > 0), F.col("__target") / F.col("__targets") * F.col("__all") * F.lit(float(repeat)) / F.col("__bytes")).otherwise(F.lit(float(repeat)))
-    return sizes.crossJoin(F.broadcast(total)).select("__source", rate.alias("__rate"))  # total is one row
+    return sizes.join(F.broadcast(total)).select("__source", rate.alias("__rate"))  # total is one row
 
 
 def poisson_table(rates: DataFrame) -> DataFrame:
@@ -55,6 +57,16 @@ def poisson_table(rates: DataFrame) -> DataFrame:
     return rates.withColumn("__pieces", F.greatest(F.ceil(F.col("__rate") / PIECE), F.lit(1)).cast("int")).withColumn("__cdf", F.aggregate(F.sequence(F.lit(0), F.lit(TERMS - 1)), start, step, lambda a: a["cdf"]))
 
 
+def with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """Rows with their source's rate. Documents are not shuffled for it where all rates together are small; otherwise a
+    source's rows are spread over SALTS keys, so that a source with a third of all rows fills no single task."""
+    if rates.limit(SOURCES + 1).count() <= SOURCES:
+        return rows.join(F.broadcast(rates), F.col("__of").eqNullSafe(F.col("__source")))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__id", "__text"), F.lit(SALTS)).cast("int"))
+    every = rates.withColumn("__salts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, F.col("__of").eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__salts")))
+
+
 def mix(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", weights: Mapping[str, float] | None = None, temperature: float = 2.0, repeat: float = 1.0, seed: int = 42) -> DataFrame:
     """Replicated and globally shuffled documents; see the module's text."""
     # whole rows travel as one struct, so no input column can clash with the columns added on the way
@@ -63,7 +75,7 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", id_col: str
     s = F.lit(str(seed))
     uniform = lambda j: (hashed(s, j, F.col("__id")) + 0.5) / F.lit(float(1 << 52))
     below = F.aggregate(F.sequence(F.lit(1), F.col("__pieces")), F.lit(0), lambda acc, j: acc + F.size(F.filter("__cdf", lambda c: c < uniform(j))))
-    counted = rows.join(rates, F.col("__of").eqNullSafe(F.col("__source")), "inner").withColumn("n_copies", below)
+    counted = with_rates(rows, rates).withColumn("n_copies", below)
     copies = counted.where("n_copies > 0").select("__row", "__id", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", hashed(s, F.lit("copy"), F.col("__id"), F.col("copy")))
     kept = [F.col(f"__row.`{c}`") for c in docs.columns if c not in ("n_copies", "copy", "shuffle_key")]

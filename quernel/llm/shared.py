@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from quernel.operators.rows import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; Spark alone opens the path."""
@@ -20,22 +19,7 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="quernel-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: lost executors cost no recomputation of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet in the shared folder and read back: lost executors cost no recomputation of it. The
+    folder goes when the application ends."""
+    return written(df)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quernel.llm import textblocks as tb
-from quernel.llm.chunks import CHUNK, Rows, exchange, expand, expand_sorted, pack, shard_cuts, squeeze, squeeze_sorted, sub_blocks, total_size
+from quernel.llm.chunks import CHUNK, Rows, expand, expand_sorted, finish, gather, pack, shard_cuts, squeeze, squeeze_sorted, sub_blocks
 from quernel.llm.shared import table
 
 BLOCK = 1 << 20
@@ -104,9 +104,9 @@ def lm_scores(docs: DataFrame, text: str = "text", order: int = 3, alpha: float
     docs = docs.drop(*added)
     names, column = docs.columns, f"c{docs.columns.index(text)}"
     chunks = pack(docs, text, chunk_bytes)
-    shards = max(1, -(-total_size(chunks) // SHARD))
+    shards = max(1, -(-chunks.size // SHARD))
 
-    def ask(batch: pa.RecordBatch) -> Rows:
+    def ask(batch: pa.RecordBatch, _: dict[int, bytes]) -> Rows:
         hashes, counts, _ = _distinct(ngrams(batch, column, order)[0])
         cut = shard_cuts(hashes, shards)
         for s in np.flatnonzero(np.diff(cut)).tolist():
@@ -115,7 +115,7 @@ def lm_scores(docs: DataFrame, text: str = "text", order: int = 3, alpha: float
 
     out_names = [*(f"c{i}" for i in range(len(names))), "x0", "x1", "x2"]
 
-    def answer(batch: pa.RecordBatch, answers: dict[int, bytes]) -> pa.Table:
+    def answer(batch: pa.RecordBatch, answers: dict[int, bytes], _: dict[int, bytes]) -> pa.Table:
         grams, lengths = ngrams(batch, column, order)
         of = _distinct(grams)[2]
         total = np.concatenate([expand(answers[s], np.uint64) for s in sorted(answers)]).astype(np.int64)
@@ -129,7 +129,7 @@ def lm_scores(docs: DataFrame, text: str = "text", order: int = 3, alpha: float
 
     fields = [*docs.schema, StructField(added[0], LongType()), StructField(added[1], LongType()), StructField(added[2], DoubleType())]
     kinds = StructType([StructField(n, f.dataType) for n, f in zip(out_names, fields, strict=True)])
-    return exchange(chunks, shards, TEAM, ask, _combine, answer, kinds).toDF(*names, *added)
+    return finish(chunks, gather(chunks, shards, TEAM, ask, _combine), answer, kinds).toDF(*names, *added)
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

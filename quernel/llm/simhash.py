@@ -19,8 +19,9 @@ pairs of distinct sets with fingerprints at most CANDIDATE_RADIUS bits apart: of
 fingerprint has at most PART_RADIUS, so a covering family on each part separates no such pair. A bucket's rows come
 sorted by size of set and meet only those whose size allows the similarity. Each candidate is then decided by its sets:
 first by counts of the hashes in 256 classes, which bound the difference from below, and what is left by the sets.
-A first round takes one candidate of each row of a bucket, so that large groups of near copies give no squares of pairs;
-a second round takes every candidate whose sets the first has not joined.
+A first round takes FIRST candidates of each row of a bucket, so that large groups of near copies give no squares of pairs,
+and names the sets of those left out; a second round takes every candidate among these that the first has not joined.
+Documents are at most shuffled to fetch the sets of candidates, and not even that where those are few.
 """
 
 from __future__ import annotations
@@ -39,11 +40,12 @@ from quernel.llm.components import components
 from quernel.llm.shared import fresh, materialize, table
 
 RADIUS = 4
-STAGE_RADIUS = 6  # of the unverified links before; read only by a test, in whose corpus no similar pair is farther apart
 CANDIDATE_RADIUS = 14
 PART_RADIUS = 4
 PARTS = ((0, 21), (21, 21), (42, 22))  # first bit and bits
 SIMILARITY = (4, 5)
+FIRST = 3  # candidates of a row of a bucket in the first round
+FEW = 200_000  # row keys, of under 100 bytes, that are broadcast at most
 ONES = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
 
 
@@ -235,10 +237,11 @@ def part_masks() -> list[int]:
     return [int(m) << first for first, n in PARTS for m in covering_masks(n, PART_RADIUS).tolist()]
 
 
-def near_pairs(t: np.ndarray, key: np.ndarray, n: np.ndarray, fp: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def near_pairs(t: np.ndarray, n: np.ndarray, fp: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indexes x < y, ``start`` <= y, of rows of one bucket within CANDIDATE_RADIUS whose sizes allow the similarity, for the
     first table in which a pair meets. Rows are sorted by bucket and size."""
     masks = np.array(part_masks(), np.uint64)
+    key = fp & masks[t]
     cut = np.r_[np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])]), len(t)].tolist() if len(t) else [0]
     low, high = SIMILARITY
     for s, e in zip(cut[:-1], cut[1:], strict=True):
@@ -258,43 +261,48 @@ def near_pairs(t: np.ndarray, key: np.ndarray, n: np.ndarray, fp: np.ndarray, st
                     yield a[met], b[met]
 
 
-def candidates(nodes: DataFrame, each: bool) -> DataFrame:
-    """Pairs (a, b) of the sets s whose fingerprints fp and sizes n allow the similarity and whose groups r differ: of
-    each row of a bucket the first, or ``each``."""
+def candidates(prints: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs (a, b) of sets s whose fingerprints fp and sizes n allow the similarity and whose groups r (if there is such a
+    column) differ. With ``most``: of each row of a bucket at most so many, and (a, a) for each set of a pair left out."""
     low, high = SIMILARITY
+    grouped = "r" in prints.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by bucket and size; what is held is the part of the last bucket that later rows can match
-        held = (np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(5)))
+        masks = np.array(part_masks(), np.uint64)
+        held = (np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3 + grouped)))
         for batch in batches:
             start = len(held[0])
-            t, key, n, fp, s, r = held = tuple(np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
-            a, b, seen = [s[:0]], [s[:0]], np.zeros(len(s), bool)
-            for x, y in near_pairs(t, key, n, fp.view(np.uint64), start):
+            held = tuple(np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            t, n, fp, s, r = held if grouped else (*held, held[3])
+            fp = fp.view(np.uint64)
+            a, b, given, left = [s[:0]], [s[:0]], np.zeros(len(s), np.int64), np.zeros(len(s), bool)
+            for x, y in near_pairs(t, n, fp, start):
                 new = r[x] != r[y]
-                if not each:
-                    new &= ~seen[y]
-                    x, y = x[new], y[new]
-                    y, new = np.unique(y, return_index=True)
-                    seen[y] = True
-                    x = x[new]
-                else:
-                    x, y = x[new], y[new]
+                x, y = x[new], y[new]
+                if most is not None:
+                    order = np.argsort(y, kind="stable")
+                    x, y = x[order], y[order]
+                    begin = np.searchsorted(y, y)
+                    keep = given[y] + np.arange(len(y)) - begin < most
+                    np.add.at(given, y, 1)
+                    left[x[~keep]] = left[y[~keep]] = True
+                    x, y = x[keep], y[keep]
                 a.append(s[x])
                 b.append(s[y])
                 if sum(map(len, a)) > 1 << 16:
                     yield pa.record_batch([np.concatenate(a), np.concatenate(b)], ["a", "b"])
                     a, b = [s[:0]], [s[:0]]
-            yield pa.record_batch([np.concatenate(a), np.concatenate(b)], ["a", "b"])
+            yield pa.record_batch([np.concatenate([*a, s[left]]), np.concatenate([*b, s[left]])], ["a", "b"])
             if len(t):
-                last = (t == t[-1]) & (key == key[-1]) & (n * high >= n[-1] * low)
+                last = (t == t[-1]) & (fp & masks[t] == fp[-1] & masks[t[-1]]) & (n * high >= n[-1] * low)
                 held = tuple(x[last] for x in held)
 
-    masks = [F.struct(F.lit(i).alias("t"), F.lit(int(np.int64(np.uint64(m)))).alias("m")) for i, m in enumerate(part_masks())]
+    masks = part_masks()
     # sets of fewer shingles than this are similar to themselves alone
-    rows = nodes.where(F.col("n") * (high - low) >= low).select("n", "fp", "s", "r", F.explode(F.array(*masks)).alias("x"))
-    rows = rows.select(F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "n", "fp", "s", "r")
-    return rows.repartition("t", "key").sortWithinPartitions("t", "key", "n").mapInArrow(run, "a long, b long")
+    rows = prints.where(F.col("n") * (high - low) >= low).select(F.explode(F.array(*map(F.lit, range(len(masks))))).alias("t"), "n", "fp", "s", *["r"][: int(grouped)])
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(int(np.int64(np.uint64(m)))) for m in masks]), F.col("t") + 1))
+    return rows.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, F.col("n")).mapInArrow(run, "a long, b long")
 
 
 def shingle_sets(docs: DataFrame, keep: str, whole: bool) -> DataFrame:
@@ -350,23 +358,28 @@ def _where(pairs: DataFrame, holds) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, key: str, nodes: DataFrame, prints: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what all pairs of sets at SIMILARITY or more within CANDIDATE_RADIUS do. ``nodes``: each distinct set s with
-    n, classes and least, the ``key`` of a row of ``docs`` that has it; ``prints``: s, fp and n, several fp of a set whose
-    texts repeat shingles differently."""
-    first = materialize(_verified(docs, key, nodes, candidates(prints.withColumn("r", F.col("s")), False)))
+    """Links (a, b) that connect what all pairs of sets at SIMILARITY or more within CANDIDATE_RADIUS do. ``nodes``: each
+    distinct set s with n, classes and least, the ``key`` of a row of ``docs`` that has it; ``prints``: s, fp and n, several
+    fp of a set whose texts repeat shingles differently."""
+    met = materialize(candidates(prints, FIRST))
+    first = materialize(_verified(docs, key, nodes, met.where("a != b")))
+    open_ = met.where("a = b").select(F.col("a").alias("s")).distinct()
     joined = components(first).select(F.col("node").alias("s"), "root")
-    prints = prints.join(joined, "s", "left").select("s", "fp", "n", F.coalesce("root", "s").alias("r"))
-    return first.unionAll(_verified(docs, key, nodes, candidates(prints, True)))
+    rest = prints.join(open_, "s", "left_semi").join(joined, "s", "left").select("s", "fp", "n", F.coalesce("root", "s").alias("r"))
+    return first.unionAll(_verified(docs, key, nodes, candidates(rest)))
 
 
 def _verified(docs: DataFrame, key: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs at SIMILARITY or more."""
     own = [nodes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("classes").alias(f"c{x}")) for x in "ab"]
-    met = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(own[0], "a").join(own[1], "b").select("a", "b", "na", "nb", "ca", "cb")
+    met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(own[0], "a").join(own[1], "b").select("a", "b", "na", "nb", "ca", "cb")
     met = materialize(_where(met, possible))
     needed = met.select(F.col("a").alias("s")).unionAll(met.select(F.col("b").alias("s"))).distinct()
-    rows = docs.join(nodes.join(needed, "s", "left_semi").select(F.col("least").alias(key)), key, "left_semi")
-    sets = materialize(shingle_sets(rows.dropDuplicates([key]), key, True).select("s", "shingles"))
+    chosen = materialize(nodes.join(needed, "s", "left_semi").select(F.col("least").alias(key)))
+    if chosen.limit(FEW + 1).count() <= FEW:  # documents need no shuffle then
+        chosen = F.broadcast(chosen)
+    rows = docs.join(chosen, key, "left_semi")
+    sets = materialize(shingle_sets(rows, key, True).select("s", "shingles").dropDuplicates(["s"]))
     own = [sets.select(F.col("s").alias(x), F.col("shingles").alias(f"w{x}")) for x in "ab"]
     return _where(met.join(own[0], "a").join(own[1], "b").select("a", "b", "wa", "wb"), similar)
 

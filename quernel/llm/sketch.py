@@ -1,7 +1,9 @@
-"""Count-min sketches of a fixed width, built for each chunk, merged in Spark and sent to all executors.
+"""Count-min sketches, counted by each chunk, merged by shards of cells and asked by chunk.
 
-Width and depth do not depend on the input, so what is broadcast (two bits a cell) has a fixed size. On larger inputs the
-estimates get coarser, never too low.
+Each chunk counts its hashes in DEPTH rows of cells and sends the cells that it hit to the shards that own them; a shard
+adds up what all chunks counted, and answers for each cell sent whether it reached two, and ``hot``. The least of a hash's
+cells is its estimate: never too low. The number of cells follows the size of the input (CELLS for each hash expected), so
+the share of hashes overestimated stays as it is when the input grows, and no part of the sketch is ever in one place.
 """
 
 from __future__ import annotations
@@ -10,76 +12,95 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 
-from quernel.llm.chunks import expand, expand_sorted, squeeze, squeeze_sorted, unpack
+from quernel.llm.chunks import Chunks, Rows, expand, expand_sorted, gather, shard_cuts, squeeze, squeeze_sorted
+from quernel.llm.shared import materialize
 
-DEPTH, WIDTH_BITS, BLOCK_BITS = 2, 26, 20
+DEPTH, CELLS = 2, 8
+SHARD = 1 << 25  # bytes of text whose cells a shard gets, about
+TEAM = 4  # shards that travel together
 
 
-def cells(hashes: np.ndarray, row: int) -> np.ndarray:
-    return (hashes * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[row])) >> np.uint64(64 - WIDTH_BITS)
+class Cells:
+    """The cells that one chunk's hashes hit, by row, in order."""
 
+    def __init__(self, hashes: np.ndarray, bits: int, shards: int) -> None:
+        self.bits, self.shards = bits, shards
+        self.hit = [np.unique(self.cells(hashes, r), return_counts=True) for r in range(DEPTH)]
+        self.cut = [shard_cuts(c << np.uint64(64 - bits), shards) for c, _ in self.hit]
 
-class Estimates:
-    """Which hashes occur at least twice, or at least ``hot`` times, by estimate."""
+    def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
+        return (hashes * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[row])) >> np.uint64(64 - self.bits)
+
+    def ask(self) -> Rows:
+        for r, ((c, n), cut) in enumerate(zip(self.hit, self.cut, strict=True)):
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                own = slice(cut[s], cut[s + 1])
+                one = squeeze_sorted(c[own])
+                yield r * self.shards + s, len(one).to_bytes(4, "little") + one + squeeze(np.minimum(n[own], 65535).astype(np.uint16))
 
-    def __init__(self, twice: np.ndarray, hot: np.ndarray) -> None:
-        self.bits = (twice, hot)
+    def told(self, answers: dict[int, bytes]) -> Estimates:
+        out = np.zeros((2, DEPTH), object)
+        for r, cut in enumerate(self.cut):
+            parts = [np.zeros((2, 0), np.uint8)]
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                n = int(cut[s + 1] - cut[s])
+                parts.append(np.unpackbits(np.frombuffer(answers[r * self.shards + s], np.uint8).reshape(2, -1), axis=1, count=n))
+            out[0, r], out[1, r] = np.concatenate(parts, axis=1).astype(bool)
+        return Estimates(self, out)
 
-    def __getstate__(self) -> list[bytes]:
-        """Compressed, for the copies that a broadcast leaves on disks."""
-        return [zstandard.ZstdCompressor(level=1).compress(b.tobytes()) for b in self.bits]
 
-    def __setstate__(self, state: list[bytes]) -> None:
-        self.bits = tuple(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(DEPTH, -1) for b in state)
+class Estimates:
+    """Which of a chunk's hashes occur at least twice, or at least ``hot`` times, by estimate."""
+
+    def __init__(self, cells: Cells, flags: np.ndarray) -> None:
+        self.of, self.flags = cells, flags
 
-    def _all(self, hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    def _all(self, hashes: np.ndarray, which: int) -> np.ndarray:
         out = np.ones(len(hashes), bool)
         for r in range(DEPTH):
-            c = cells(hashes, r).astype(np.int64)
-            out &= (bits[r, c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+            out &= self.flags[which, r][np.searchsorted(self.of.hit[r][0], self.of.cells(hashes, r))]
         return out
 
     def twice(self, hashes: np.ndarray) -> np.ndarray:
-        return self._all(hashes, self.bits[0])
+        return self._all(hashes, 0)
 
     def hot(self, hashes: np.ndarray) -> np.ndarray:
-        return self._all(hashes, self.bits[1])
-
-
-def estimate(chunks: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], hot: int):
-    """Broadcast ``Estimates`` of how often each hash occurs in all chunks; ``hashes`` lists those of one chunk."""
-    spark = chunks.sparkSession
-    blocks = 1 << (WIDTH_BITS - BLOCK_BITS)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in batch.column(0):
-                h = hashes(unpack(rows.as_py()))
-                ids, out = [], []
-                for r in range(DEPTH):
-                    c, n = np.unique(cells(h, r), return_counts=True)
-                    cut = np.searchsorted(c, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(BLOCK_BITS))
-                    for b in range(blocks):
-                        if cut[b] < cut[b + 1]:
-                            ids.append(r * blocks + b)
-                            base = np.uint64(b << BLOCK_BITS)
-                            out.append((squeeze_sorted(c[cut[b] : cut[b + 1]] - base), squeeze(np.minimum(n[cut[b] : cut[b + 1]], 65535).astype(np.uint16))))
-                yield pa.record_batch([pa.array(ids, pa.int32()), pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["block", "cells", "counts"])
-
-    def merge(group: pa.Table) -> pa.Table:
-        total = np.zeros(1 << BLOCK_BITS, np.uint32)
-        for c, n in zip(group.column("cells").to_pylist(), group.column("counts").to_pylist(), strict=True):
-            at = expand_sorted(c).astype(np.int64)
-            total[at] = np.minimum(total[at] + expand(n, np.uint16), 1 << 31)
-        bits = [pa.array([np.packbits(total >= t).tobytes()], pa.binary()) for t in (2, hot)]
-        return pa.table([group.column("block").slice(0, 1), *bits], ["block", "twice", "hot"])
-
-    sketch = chunks.select("rows").mapInArrow(build, "block int, cells binary, counts binary")
-    merged = sketch.groupBy("block").applyInArrow(merge, "block int, twice binary, hot binary")
-    out = np.zeros((2, DEPTH * blocks, 1 << (BLOCK_BITS - 3)), np.uint8)
-    for row in merged.collect():  # DEPTH * 2**WIDTH_BITS / 4 bytes, whatever the input
-        out[0, row.block], out[1, row.block] = np.frombuffer(row.twice, np.uint8), np.frombuffer(row.hot, np.uint8)
-    return spark.sparkContext.broadcast(Estimates(*(x.reshape(DEPTH, -1) for x in out)))
+        return self._all(hashes, 1)
+
+
+def merge(entries: list[bytes], hot: int) -> list[bytes]:
+    """One shard: for each chunk's cells whether all chunks together reach two, and ``hot``."""
+    cells, counts = [], []
+    for e in entries:
+        n = int.from_bytes(e[:4], "little")
+        cells.append(expand_sorted(e[4 : 4 + n]))
+        counts.append(expand(e[4 + n :], np.uint16))
+    every = np.concatenate(cells)
+    order = np.argsort(every, kind="stable")
+    s = every[order]
+    cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    totals = np.empty(len(every), np.int64)
+    totals[order] = np.repeat(np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), cut), np.diff(np.r_[cut, len(s)]))
+    flags = np.stack([totals >= 2, totals >= hot])
+    return [np.packbits(x, axis=1).tobytes() for x in np.split(flags, np.cumsum([len(x) for x in cells])[:-1], axis=1)]
+
+
+class Sketch:
+    """A merged sketch of all chunks. ``hashes`` lists those of one chunk, one for each ``spacing`` bytes or fewer;
+    ``told`` is what each chunk learns, for ``gather`` and ``finish``, and ``estimates`` reads it."""
+
+    def __init__(self, chunks: Chunks, hashes: Callable[[pa.RecordBatch], np.ndarray], hot: int, spacing: int) -> None:
+        self.bits = bits = max(16, (CELLS * chunks.size // spacing).bit_length())
+        self.shards = shards = max(1, -(-chunks.size // SHARD))
+
+        def ask(batch: pa.RecordBatch, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+            return Cells(hashes(batch), bits, shards).ask()
+
+        self.told: DataFrame = materialize(gather(chunks, DEPTH * shards, TEAM, ask, lambda e: merge(e, hot)))
+
+    def reader(self) -> Callable[[np.ndarray, dict[int, bytes]], Estimates]:
+        """Estimates of a chunk's hashes, all of them given, from what it was told."""
+        bits, shards = self.bits, self.shards
+        return lambda hashes, told: Cells(hashes, bits, shards).told(told)

@@ -6,7 +6,8 @@ its anchors in a count-min sketch; the merged sketch overestimates how often eac
 windows whose estimate is two or more are grouped, exactly, by 96-bit hashes; none that repeats is lost. Each word
 covered by a window that also starts elsewhere goes. Windows are judged on the input.
 
-Frequent windows cost each chunk one entry, so no passage is hot. Null and wordless texts have no words and lose none;
+Frequent windows cost each chunk one entry, so no passage is hot. A text longer than a chunk is scanned whole in one task,
+as a chunk of its own. Null and wordless texts have no words and lose none;
 texts shorter than a window lose none; the two rows of a repeated document are two places. Extra columns are kept.
 """
 
@@ -20,13 +21,14 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from quernel.llm import textblocks as tb
 from quernel.llm import windows
-from quernel.llm.chunks import CHUNK, exchange, pack, sub_blocks, total_size
+from quernel.llm.chunks import CHUNK, finish, gather, pack, sub_blocks
 from quernel.llm.shared import fresh, table
-from quernel.llm.sketch import estimate
+from quernel.llm.sketch import Sketch
 
 BLOCK = 1 << 20
 SHARD = 1 << 21  # windows a shard gets on average, at most
 TEAM = 4  # shards that travel together
+SPACING = 32  # bytes of text for each anchor, at least, as a rule
 
 
 def _scan(batch: pa.RecordBatch, text: str, window: int, gram: int):
@@ -39,10 +41,16 @@ def _scan(batch: pa.RecordBatch, text: str, window: int, gram: int):
         yield at, data, off, starts, ends, first, h, grams[pos], begin, count
 
 
-def _candidates(batch: pa.RecordBatch, text: str, window: int, gram: int, seen) -> tuple[windows.Local, list[np.ndarray]]:
+def _anchors(blocks) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(x[7] for x in blocks)])
+
+
+def _candidates(batch: pa.RecordBatch, text: str, window: int, gram: int, estimates, told: dict[int, bytes]) -> tuple[windows.Local, list[np.ndarray]]:
     """The chunk's windows that may repeat, and for each block their first words."""
     one, two, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], []
-    for _, data, _, starts, ends, _, h, anchor, begin, count in _scan(batch, text, window, gram):
+    blocks = list(_scan(batch, text, window, gram))
+    seen = estimates(_anchors(blocks), told)
+    for _, data, _, starts, ends, _, h, anchor, begin, count in blocks:
         keep = seen.twice(anchor)
         b, n = begin[keep], count[keep]
         s = np.repeat(b - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -60,21 +68,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, gram:
     docs = docs.drop(*added)
     names, column = docs.columns, f"c{docs.columns.index(text)}"
     chunks = pack(docs, text, chunk_bytes)
-    shards = max(1, -(-total_size(chunks) // (6 * SHARD)))
-
-    def anchors(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *(x[7] for x in _scan(batch, column, window, gram))])
-
-    sketch = estimate(chunks, anchors, 1 << 16)
+    shards = max(1, -(-chunks.size // (6 * SHARD)))
+    sketch = Sketch(chunks, lambda batch: _anchors(_scan(batch, column, window, gram)), 1 << 16, SPACING)
+    estimates = sketch.reader()
 
-    def ask(batch: pa.RecordBatch):
-        return _candidates(batch, column, window, gram, sketch.value)[0].ask(shards)
+    def ask(batch: pa.RecordBatch, told: dict[int, bytes]):
+        return _candidates(batch, column, window, gram, estimates, told)[0].ask(shards)
 
     fields = [*docs.schema, StructField(added[0], LongType()), StructField(added[1], LongType()), StructField(added[2], BinaryType())]
     out_names = [*(f"c{i}" for i in range(len(names))), "x0", "x1", "x2"]
 
-    def answer(batch: pa.RecordBatch, answers: dict[int, bytes]) -> pa.Table:
-        local, at = _candidates(batch, column, window, gram, sketch.value)
+    def answer(batch: pa.RecordBatch, answers: dict[int, bytes], told: dict[int, bytes]) -> pa.Table:
+        local, at = _candidates(batch, column, window, gram, estimates, told)
         again, used, kept, n_words, n_removed = local.answered(shards, answers), 0, [], [], []
         for (_, data, off), s in zip(sub_blocks(batch, column, BLOCK), at, strict=True):
             starts, ends, first = tb.words(data, off)
@@ -93,7 +98,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, gram:
         return pa.table([*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], out_names)
 
     kinds = StructType([StructField(n, f.dataType) for n, f in zip(out_names, fields, strict=True)])
-    return exchange(chunks, shards, TEAM, ask, windows.combine, answer, kinds).toDF(*names, *added)
+    answers = gather(chunks, shards, TEAM, ask, windows.combine, sketch.told)
+    return finish(chunks, answers, answer, kinds, sketch.told).toDF(*names, *added)
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ Anchors of ``hot`` or more occurrences by estimate (a passage in a large share o
 their windows are spread by their own hashes instead and grouped exactly by 96 bits.
 
 Each byte covered by a string that starts elsewhere too goes; strings are judged on the input. Null texts are empty;
-texts shorter than a window lose nothing; the two rows of a repeated document are two places. Extra columns are kept.
+texts shorter than a window lose nothing; a text longer than a chunk is scanned whole in one task; the two rows of a repeated document are two places. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -31,15 +31,16 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from quernel.llm import textblocks as tb
 from quernel.llm import windows
-from quernel.llm.chunks import CHUNK, Rows, exchange, expand, pack, squeeze, sub_blocks, total_size
+from quernel.llm.chunks import CHUNK, Rows, expand, finish, gather, pack, squeeze, sub_blocks
 from quernel.llm.shared import table
-from quernel.llm.sketch import estimate
+from quernel.llm.sketch import Sketch
 
 BLOCK = 1 << 20
 SHARD = 2 << 20  # bytes of contexts a shard gets on average, about
 TEAM = 32  # shards that travel together
 GRAM, FIRST = 64, 50
 HOT = 4096
+SPACING = 128  # bytes of text for each anchor, at least, as a rule
 
 
 @dataclass
@@ -70,10 +71,15 @@ def _runs(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np
     return grams[pos], begin, count, rolling
 
 
-def _blocks(batch: pa.RecordBatch, text: str, window: int, gram: int, shards: int, seen) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
+def _anchors(batch: pa.RecordBatch, text: str, window: int, gram: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(_runs(data, off, window, gram)[0] for _, data, off in sub_blocks(batch, text, BLOCK))])
+
+
+def _blocks(batch: pa.RecordBatch, text: str, window: int, gram: int, shards: int, estimates, told: dict[int, bytes]) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
     """Blocks with the two hashes of their hot windows."""
-    for _, data, off in sub_blocks(batch, text, BLOCK):
-        anchor, begin, count, rolling = _runs(data, off, window, gram)
+    blocks = [(data, off, *_runs(data, off, window, gram)) for _, data, off in sub_blocks(batch, text, BLOCK)]
+    seen = estimates(np.concatenate([np.zeros(0, np.uint64), *(b[2] for b in blocks)]), told)
+    for data, off, anchor, begin, count, rolling in blocks:
         keep = seen.twice(anchor)
         hot = keep & seen.hot(anchor)
         h = spread(begin[hot], count[hot])
@@ -161,20 +167,17 @@ def remove_strings(docs: DataFrame, text: str = "text", window: int = 400, prefi
     docs = docs.drop(*added)
     names, column, gram = docs.columns, f"c{docs.columns.index(text)}", min(GRAM, max(1, window // 4))
     chunks = pack(docs, text, chunk_bytes)
-    shards = max(1, -(-total_size(chunks) // SHARD))
-
-    def anchors(batch: pa.RecordBatch) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.uint64), *(_runs(data, off, window, gram)[0] for _, data, off in sub_blocks(batch, column, BLOCK))])
-
-    sketch = estimate(chunks, anchors, HOT)
+    shards = max(1, -(-chunks.size // SHARD))
+    sketch = Sketch(chunks, lambda batch: _anchors(batch, column, window, gram), HOT, SPACING)
+    estimates = sketch.reader()
 
-    def read(batch: pa.RecordBatch) -> tuple[list[Block], windows.Local]:
-        got = list(_blocks(batch, column, window, gram, shards, sketch.value))
+    def read(batch: pa.RecordBatch, told: dict[int, bytes]) -> tuple[list[Block], windows.Local]:
+        got = list(_blocks(batch, column, window, gram, shards, estimates, told))
         none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
         return [b for b, _, _ in got], windows.Local(np.concatenate([none[0], *(x for _, x, _ in got)]), np.concatenate([none[1], *(x for _, _, x in got)]))
 
-    def ask(batch: pa.RecordBatch) -> Rows:
-        parts, hot = read(batch)
+    def ask(batch: pa.RecordBatch, told: dict[int, bytes]) -> Rows:
+        parts, hot = read(batch, told)
         for s, e in hot.ask(shards):
             yield shards + s, b"h" + e
         for s in np.unique(np.concatenate([np.zeros(0, np.int64), *(b.shard for b in parts)])).tolist():
@@ -188,8 +191,8 @@ def remove_strings(docs: DataFrame, text: str = "text", window: int = 400, prefi
     fields = [*docs.schema, StructField(added[0], LongType()), StructField(added[1], ArrayType(ArrayType(LongType()))), StructField(added[2], BinaryType())]
     out_names = [*(f"c{i}" for i in range(len(names))), "x0", "x1", "x2"]
 
-    def answer(batch: pa.RecordBatch, answers: dict[int, bytes]) -> pa.Table:
-        parts, hot = read(batch)
+    def answer(batch: pa.RecordBatch, answers: dict[int, bytes], told: dict[int, bytes]) -> pa.Table:
+        parts, hot = read(batch, told)
         hot_again = hot.answered(shards, {s - shards: b for s, b in answers.items() if s >= shards})
         got = {s: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for s, b in answers.items() if s < shards}
         taken, used, n_bytes, spans, kept = dict.fromkeys(got, 0), 0, [], [], []
@@ -212,7 +215,8 @@ def remove_strings(docs: DataFrame, text: str = "text", window: int = 400, prefi
         return pa.table([*batch.columns, pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], out_names)
 
     kinds = StructType([StructField(n, f.dataType) for n, f in zip(out_names, fields, strict=True)])
-    return exchange(chunks, 2 * shards, TEAM, ask, lambda e: _combine(e, window), answer, kinds).toDF(*names, *added)
+    answers = gather(chunks, 2 * shards, TEAM, ask, lambda e: _combine(e, window), sketch.told)
+    return finish(chunks, answers, answer, kinds, sketch.told).toDF(*names, *added)
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

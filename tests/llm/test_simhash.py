@@ -98,9 +98,9 @@ def test_stage_keeps_one_of_each_group(spark, docs, corpus):
     kept = simhash.stage(spark, docs, "")
     assert kept.columns == docs.columns
     rows = kept.collect()
-    fps = [fingerprint(r[1], 5) for r in corpus]
-    root = classes(sorted(set(fps)), lambda a, b: bin(a ^ b).count("1") <= simhash.STAGE_RADIUS)
-    assert sorted(root[fingerprint(r.text, 5)] for r in rows) == sorted(set(root.values()))
+    sets = lambda t: tuple(sorted(shingle_set(t)))
+    root = classes(sorted({sets(r[1]) for r in corpus}), lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b)))
+    assert sorted(root[sets(r.text)] for r in rows) == sorted(set(root.values()))
 
 
 def shingle_set(text, size=5):
@@ -125,7 +125,7 @@ def test_near_pairs_against_all_pairs():
     for t, m in enumerate(simhash.part_masks()):
         key = fp & np.uint64(m)
         order = np.lexsort((n, key))
-        for x, y in simhash.near_pairs(np.full(300, t), key[order].view(np.int64), n[order], fp[order], 0):
+        for x, y in simhash.near_pairs(np.full(300, t), n[order], fp[order], 0):
             found += zip(order[x].tolist(), order[y].tolist(), strict=True)
     want = {(a, b) for a, b in itertools.combinations(range(300), 2) if int(fp[a] ^ fp[b]).bit_count() <= simhash.CANDIDATE_RADIUS and 5 * min(n[a], n[b]) >= 4 * max(n[a], n[b])}
     assert len(found) == len(set(found)) and {(min(p), max(p)) for p in found} == want
@@ -159,9 +159,32 @@ def test_large_groups_give_no_squares_of_pairs(spark):
     rows = []
     for k in range(400):
         fp = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
-        rows.append((k, int(np.int64(np.uint64(fp))), 100, k))
-    df = spark.createDataFrame(rows, "s long, fp long, n long, r long")
-    pairs = {(r.a, r.b) for r in simhash.candidates(df, False).collect()}
-    assert len(pairs) < 400 * 30 and len({y for p in pairs for y in p}) == 400
-    assert {frozenset((r.a, r.b)) for r in simhash.candidates(df, True).collect()} == {frozenset(p) for p in itertools.combinations(range(400), 2)}
-    assert simhash.candidates(df.selectExpr("s", "fp", "n", "0L as r"), True).count() == 0
+        rows.append((k, int(np.int64(np.uint64(fp))), 100))
+    df = spark.createDataFrame(rows, "s long, fp long, n long")
+    got = {(r.a, r.b) for r in simhash.candidates(df, 2).collect()}
+    pairs, left = {frozenset(p) for p in got if p[0] != p[1]}, {a for a, b in got if a == b}
+    every = {frozenset(p) for p in itertools.combinations(range(400), 2)}
+    assert len(pairs) < 400 * 2 * 30 and {y for p in pairs for y in p} == set(range(400))
+    assert all(p <= left for p in every - pairs)
+    assert {frozenset((r.a, r.b)) for r in simhash.candidates(df).collect()} == every
+    assert simhash.candidates(df.selectExpr("s", "fp", "n", "0L as r")).count() == 0
+
+
+def test_second_round_joins_what_the_first_leaves_out(spark, monkeypatch):
+    """One candidate a row in the first round, and most of these not similar: the groups are those of all pairs."""
+    monkeypatch.setattr(simhash, "FIRST", 1)
+    monkeypatch.setattr(simhash, "FEW", 3)
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(6):
+        w = [f"w{int(x)}" for x in rng.integers(0, 1 << 40, 120)]
+        for _ in range(25):
+            v = list(w)
+            for at in rng.choice(120, int(rng.integers(0, 5)), replace=False):
+                v[at] = f"x{int(rng.integers(0, 1 << 40))}"
+            texts.append(" ".join(v))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sets = [shingle_set(t) for t in texts]
+    prints = [fingerprint(t, 5) for t in texts]
+    root = classes(range(len(texts)), lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and (prints[a] ^ prints[b]).bit_count() <= simhash.CANDIDATE_RADIUS)
+    assert sorted(r.doc_id for r in simhash.stage(spark, df, "").collect()) == sorted(set(root.values()))

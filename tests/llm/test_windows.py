@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.llm import lm, substring, suffix
+from quernel.llm import lm, sketch, substring, suffix
 from quernel.llm import textblocks as tb
 from quernel.llm import windows as wd
 
@@ -154,8 +154,31 @@ def test_digests_of_the_queries(spark):
     assert all(r[0] == hashlib.sha256(b"").hexdigest() for r in none)
 
 
-def test_hash_bits_grow_with_the_corpus():
-    assert lm.hash_bits(10**9, 3) < lm.hash_bits(10**14, 3) <= 64
+@pytest.mark.parametrize("size", [1 << 16, 1 << 22])
+def test_sketch_never_underestimates_and_keeps_its_accuracy(size):
+    """Chunks' cells merged by shards: no repeated hash is missed, and few single ones pass, whatever the input's size."""
+    rng = np.random.default_rng(size)
+    hashes = size // 32
+    single = rng.integers(0, 1 << 64, hashes, dtype=np.uint64)
+    shared = rng.integers(0, 1 << 64, 50, dtype=np.uint64)
+    bits, shards = max(16, (sketch.CELLS * size // 32).bit_length()), 5
+    chunks = [sketch.Cells(np.r_[x, shared[: 10 + 10 * i]], bits, shards) for i, x in enumerate(np.array_split(single, 4))]
+    asked = [dict(c.ask()) for c in chunks]
+    answers = [{} for _ in chunks]
+    for s in range(sketch.DEPTH * shards):
+        who = [i for i, a in enumerate(asked) if s in a]
+        for i, b in zip(who, sketch.merge([asked[i][s] for i in who], 4) if who else [], strict=True):
+            answers[i][s] = b
+    told = [c.told(a) for c, a in zip(chunks, answers, strict=True)]
+    assert told[0].twice(shared[:10]).all() and told[0].hot(shared[:10]).all() and told[3].twice(shared[10:30]).all()
+    passed = sum(int(t.twice(x).sum()) for t, x in zip(told, np.array_split(single, 4), strict=True))
+    assert passed < 0.08 * hashes
+
+
+def test_chunks_are_not_shuffled(docs):
+    """Only what is asked and answered is exchanged; the bucketed chunks are read in place."""
+    plan = substring.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(chunk") == 2 and "Bucketed: true" in plan
 
 
 def test_stage_keeps_untouched_texts_as_they_are(spark, docs):

@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by inner product: a forest of sorted hash-string arrays.
 
 Rows are dealt by a hash of their id into blocks of at most ``block_rows`` vectors on average; every row is indexed, and
-every block holds a whole forest. A tree hashes a vector to a string of 64 bits, the signs of random projections, and
-keeps its block's strings in one sorted array. A query descends in every tree to its longest prefix match by binary
-search, then all trees ascend together, one bit at a time, until the items under the current prefixes reach
-``candidates`` of the block; exact inner products in double precision rank these. Prefixes of all trees shrink in step,
+every block holds a whole forest. A tree hashes a vector to a string of symbols, each the nearest corner of a randomly turned
+cross-polytope (such symbols tell neighbours apart better than signs of projections), and keeps its block's strings in one
+sorted array. A query descends in every tree to its longest prefix match by binary search, then all trees ascend together,
+one symbol at a time, until the items under the current prefixes reach ``candidates`` of the block; exact inner products in double precision rank these. Prefixes of all trees shrink in step,
 so every tree contributes its closest items first. Inner products become angles by one more coordinate that makes all
 items of a block equally long.
 
@@ -29,7 +29,8 @@ from pyspark.sql.window import Window
 
 from quernel.llm.shared import materialize, table
 
-BITS = 64
+SYMBOLS = 4  # of a string
+AXES = 64  # of the cross-polytopes at most; a symbol has 2 * AXES values, 7 bits
 
 
 class Forest:
@@ -38,29 +39,38 @@ class Forest:
     def __init__(self, items: np.ndarray, trees: int, seed: int) -> None:
         norms = (items * items).sum(1)
         longest = norms.max() if len(norms) else 0.0
-        self.items, self.seed, self.trees = items, seed, trees
-        lifted = np.c_[items, np.sqrt(np.maximum(longest - norms, 0))]
-        self.planes = np.random.default_rng(seed).normal(size=(items.shape[1] + 1, trees * BITS)).astype(np.float32)
-        strings = self.strings(lifted)
+        self.items, self.trees = items, trees
+        width = items.shape[1] + 1
+        self.axes = min(width, AXES)
+        self.bits = (2 * self.axes - 1).bit_length()
+        rng = np.random.default_rng(seed)
+        turns = [np.linalg.qr(rng.normal(size=(width, self.axes)))[0] for _ in range(trees * SYMBOLS)]
+        self.turns = np.array(turns, np.float32).reshape(trees, SYMBOLS, width, self.axes).transpose(0, 2, 1, 3).reshape(trees, width, -1)
+        strings = self.strings(np.c_[items, np.sqrt(np.maximum(longest - norms, 0))])
         self.order = np.argsort(strings, axis=0, kind="stable")
         self.sorted = np.take_along_axis(strings, self.order, 0)
 
     def strings(self, vectors: np.ndarray) -> np.ndarray:
-        """One 64-bit string for each vector and tree."""
-        signs = (vectors.astype(np.float32) @ self.planes) > 0
-        packed = np.packbits(signs.reshape(len(vectors), self.trees, BITS), axis=2)
-        return packed.view(">u8")[:, :, 0].astype(np.uint64)
+        """One string of SYMBOLS symbols for each vector and tree: which of a turned cross-polytope's corners is nearest."""
+        v, out = vectors.astype(np.float32), np.zeros((len(vectors), self.trees), np.uint64)
+        for t in range(self.trees):
+            turned = (v @ self.turns[t]).reshape(len(v), SYMBOLS, self.axes)
+            axis = np.abs(turned).argmax(2)
+            corner = 2 * axis + (np.take_along_axis(turned, axis[..., None], 2)[..., 0] > 0)
+            for k in range(SYMBOLS):
+                out[:, t] = out[:, t] << np.uint64(self.bits) | corner[:, k].astype(np.uint64)
+        return out
 
     def ranges(self, queries: np.ndarray, candidates: int) -> tuple[np.ndarray, np.ndarray]:
         """Per query and tree the range of sorted items under the prefix at which the ascent stops."""
         q = self.strings(np.c_[queries, np.zeros(len(queries))])
         low, high = np.zeros((len(q), self.trees), np.int64), np.zeros((len(q), self.trees), np.int64)
         open_ = np.ones(len(q), bool)
-        for depth in range(BITS, -1, -1):
+        for length in range(SYMBOLS, -1, -1):
             at = np.flatnonzero(open_)
             if not len(at):
                 break
-            rest = np.uint64((1 << (BITS - depth)) - 1)
+            rest = np.uint64((1 << self.bits * (SYMBOLS - length)) - 1)
             first = q[at] & ~rest
             for t in range(self.trees):
                 low[at, t] = np.searchsorted(self.sorted[:, t], first[:, t], "left")
@@ -77,6 +87,8 @@ class Forest:
             for t in np.flatnonzero(high[i] > low[i]):
                 hit[self.order[low[i, t] : high[i, t], t]] = True
             found = np.flatnonzero(hit)
+            if len(found) < k:  # under several trees the same few rows: up to the empty prefix
+                found = np.arange(len(self.items))
             score = (self.items[found] * q).sum(1)
             if len(found) > k:
                 keep = score >= np.partition(score, len(score) - k)[len(score) - k]
@@ -94,7 +106,7 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)) & ~F.coalesce(zero, F.lit(True)))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", trees: int = 48, share: float = 0.75, block_rows: int = 8192, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", trees: int = 80, share: float = 0.25, block_rows: int = 8192, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k nearest rows found, its own excepted.
 
     ``is_query``: condition on a column ``id``. ``share``: the ascent stops when the trees together hold this many times
@@ -132,7 +144,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         items, queries = matrix(right), matrix(left)
         forest = Forest(items, trees, seed)
         ids = right.column("ids").to_pylist()
-        out = [(c, x, s) for c, (found, score) in zip(left.column("cls").to_pylist(), forest.search(queries, k + 1, max((k + 1) * trees, int(share * len(items)))), strict=True) for i, s in zip(found.tolist(), score.tolist(), strict=True) for x in ids[i]]
+        out = [(c, x, s) for c, (found, score) in zip(left.column("cls").to_pylist(), forest.search(queries, k + 1, max(4 * (k + 1), int(share * len(items)))), strict=True) for i, s in zip(found.tolist(), score.tolist(), strict=True) for x in ids[i]]
         # only the best k + 1 of a block can be among the best k of all but the query's own row
         best = pd.DataFrame(out, columns=["cls", "vec_id", "score"]).sort_values(["cls", "score", "vec_id"], ascending=[True, False, True]).groupby("cls").head(k + 1)
         return pa.Table.from_pandas(best, schema=schema, preserve_index=False)

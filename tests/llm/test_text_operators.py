@@ -240,3 +240,26 @@ def test_forest_search_is_exact_with_all_candidates():
     f = ann.Forest(x, 4, 1)
     for q, (found, score) in zip(x[:10], f.search(x[:10], 5, 10**6), strict=True):
         assert set(found.tolist()) == set(np.argsort(-(x @ q))[:5].tolist()) and np.allclose(np.sort(score)[::-1], np.sort(x @ q)[::-1][:5])
+
+
+def test_recall_of_the_query_on_the_generated_table(spark):
+    """All queries of sf0.1 against exact search, and the share of rows that is scored."""
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = {}
+    for r in ann.op2_nearest(spark, sf).collect():
+        found.setdefault(r.query_id, []).append(r)
+    own = np.flatnonzero(ids % 20 == 0)
+    assert sorted(found) == ids[own].tolist()
+    for i in own.tolist():
+        got = sorted(found[ids[i]], key=lambda r: r["rank"])
+        assert [r["rank"] for r in got] == list(range(1, 21)) and len({r.vec_id for r in got} - {int(ids[i])}) == 20
+        exact = (x * x[i]).sum(1)
+        assert np.allclose([r.score for r in got], exact[np.searchsorted(ids, [r.vec_id for r in got])], rtol=0, atol=1e-12)
+        assert [(-r.score, r.vec_id) for r in got] == sorted((-r.score, r.vec_id) for r in got)
+    assert ann.recall(x, x[own], own, [set(np.searchsorted(ids, [r.vec_id for r in found[ids[i]]]).tolist()) for i in own.tolist()], 20) >= 0.95
+    forest = ann.Forest(x, 80, 11)
+    low, high = forest.ranges(x[own], len(x) // 4)
+    scored = [len(set(np.concatenate([forest.order[low[q, t] : high[q, t], t] for t in range(80)]).tolist())) / len(x) for q in range(len(own))]
+    assert np.mean(scored) < 0.5

@@ -8,8 +8,9 @@ over the count of that n-gram without its last word, times ``alpha`` for each or
 fits in the document; a single word's is its share of all words. A document's score is the sum of natural logarithms,
 each rounded to millionths so that sums do not depend on their order.
 
-n-grams are known by 64 bits of hash, whatever the corpus's size; frequent ones cost each chunk one entry. Null and wordless texts have no words,
-score 0 and no mean. Repeated rows count as often as they occur. An empty table gives no rows. Other columns are kept
+n-grams are known by 64 bits of hash, whatever the corpus's size; frequent ones cost each chunk one entry. A sketch, which
+never counts too low, first tells which n-grams occur once: their count is known, and they never leave their chunk. Null and
+wordless texts have no words, score 0 and no mean. A text longer than a chunk is scored whole in one task. Repeated rows count as often as they occur. An empty table gives no rows. Other columns are kept
 unless they have the names added.
 """
 
@@ -23,10 +24,12 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from quernel.llm import textblocks as tb
 from quernel.llm.chunks import CHUNK, Rows, expand, expand_sorted, finish, gather, pack, shard_cuts, squeeze, squeeze_sorted, sub_blocks
 from quernel.llm.shared import table
+from quernel.llm.sketch import Sketch
 
 BLOCK = 1 << 20
 SHARD = 4 << 20  # bytes of text for which a shard gets the n-grams, about
 TEAM = 4  # shards that travel together
+SPACING = 2  # bytes of text for each n-gram, about
 ALL = np.uint64(0)  # stands for the empty n-gram, whose count is the number of words
 
 
@@ -106,8 +109,21 @@ def lm_scores(docs: DataFrame, text: str = "text", order: int = 3, alpha: float
     chunks = pack(docs, text, chunk_bytes)
     shards = max(1, -(-chunks.size // SHARD))
 
-    def ask(batch: pa.RecordBatch, _: dict[int, bytes]) -> Rows:
+    def occurrences(batch: pa.RecordBatch) -> np.ndarray:
+        every = np.concatenate(ngrams(batch, column, order)[0])
+        return every[every != ALL]
+
+    sketch = Sketch(chunks, occurrences, 1 << 16, SPACING, 1)
+    estimates = sketch.reader()
+
+    def several(hashes: np.ndarray, told: dict[int, bytes]) -> np.ndarray:
+        """Of a chunk's distinct n-grams those that may occur twice in the corpus, and ALL."""
+        return np.r_[True, estimates(hashes[1:], told).twice(hashes[1:])]
+
+    def ask(batch: pa.RecordBatch, told: dict[int, bytes]) -> Rows:
         hashes, counts, _ = _distinct(ngrams(batch, column, order)[0])
+        keep = several(hashes, told)
+        hashes, counts = hashes[keep], counts[keep]
         cut = shard_cuts(hashes, shards)
         for s in np.flatnonzero(np.diff(cut)).tolist():
             one = squeeze_sorted(hashes[cut[s] : cut[s + 1]])
@@ -115,10 +131,11 @@ def lm_scores(docs: DataFrame, text: str = "text", order: int = 3, alpha: float
 
     out_names = [*(f"c{i}" for i in range(len(names))), "x0", "x1", "x2"]
 
-    def answer(batch: pa.RecordBatch, answers: dict[int, bytes], _: dict[int, bytes]) -> pa.Table:
+    def answer(batch: pa.RecordBatch, answers: dict[int, bytes], told: dict[int, bytes]) -> pa.Table:
         grams, lengths = ngrams(batch, column, order)
-        of = _distinct(grams)[2]
-        total = np.concatenate([expand(answers[s], np.uint64) for s in sorted(answers)]).astype(np.int64)
+        hashes, _, of = _distinct(grams)
+        total = np.ones(len(hashes), np.int64)
+        total[several(hashes, told)] = np.concatenate([expand(answers[s], np.uint64) for s in sorted(answers)]).astype(np.int64)
         counts = [np.where(g == ALL, 0, c) for g, c in zip(grams, np.split(total[of], order), strict=True)]
         micro = word_scores(counts, int(total[0]), lengths, alpha, min_count)
         sums = np.r_[0, np.cumsum(micro)]
@@ -129,7 +146,8 @@ def lm_scores(docs: DataFrame, text: str = "text", order: int = 3, alpha: float
 
     fields = [*docs.schema, StructField(added[0], LongType()), StructField(added[1], LongType()), StructField(added[2], DoubleType())]
     kinds = StructType([StructField(n, f.dataType) for n, f in zip(out_names, fields, strict=True)])
-    return finish(chunks, gather(chunks, shards, TEAM, ask, _combine), answer, kinds).toDF(*names, *added)
+    answers = gather(chunks, shards, TEAM, ask, _combine, sketch.told)
+    return finish(chunks, answers, answer, kinds, sketch.told).toDF(*names, *added)
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

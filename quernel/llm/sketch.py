@@ -1,6 +1,6 @@
 """Count-min sketches, counted by each chunk, merged by shards of cells and asked by chunk.
 
-Each chunk counts its hashes in DEPTH rows of cells and sends the cells that it hit to the shards that own them; a shard
+Each chunk counts its hashes in ``depth`` rows of cells and sends the cells that it hit to the shards that own them; a shard
 adds up what all chunks counted, and answers for each cell sent whether it reached two, and ``hot``. The least of a hash's
 cells is its estimate: never too low. The number of cells follows the size of the input (CELLS for each hash expected), so
 the share of hashes overestimated stays as it is when the input grows, and no part of the sketch is ever in one place.
@@ -18,20 +18,21 @@ from quernel.llm.chunks import Chunks, Rows, expand, expand_sorted, gather, shar
 from quernel.llm.shared import materialize
 
 DEPTH, CELLS = 2, 8
+SPREAD = (1, 0xC2B2AE3D27D4EB4F)  # a row's multiplier; sorted hashes have sorted cells in the first row, which is fast to search
 SHARD = 1 << 25  # bytes of text whose cells a shard gets, about
 TEAM = 4  # shards that travel together
 
 
 class Cells:
-    """The cells that one chunk's hashes hit, by row, in order."""
+    """The cells that one chunk's hashes, spread evenly over 64 bits, hit, by row, in order."""
 
-    def __init__(self, hashes: np.ndarray, bits: int, shards: int) -> None:
+    def __init__(self, hashes: np.ndarray, bits: int, shards: int, depth: int = DEPTH) -> None:
         self.bits, self.shards = bits, shards
-        self.hit = [np.unique(self.cells(hashes, r), return_counts=True) for r in range(DEPTH)]
+        self.hit = [np.unique(self.cells(hashes, r), return_counts=True) for r in range(depth)]
         self.cut = [shard_cuts(c << np.uint64(64 - bits), shards) for c, _ in self.hit]
 
     def cells(self, hashes: np.ndarray, row: int) -> np.ndarray:
-        return (hashes * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[row])) >> np.uint64(64 - self.bits)
+        return (hashes * np.uint64(SPREAD[row])) >> np.uint64(64 - self.bits)
 
     def ask(self) -> Rows:
         for r, ((c, n), cut) in enumerate(zip(self.hit, self.cut, strict=True)):
@@ -41,7 +42,7 @@ class Cells:
                 yield r * self.shards + s, len(one).to_bytes(4, "little") + one + squeeze(np.minimum(n[own], 65535).astype(np.uint16))
 
     def told(self, answers: dict[int, bytes]) -> Estimates:
-        out = np.zeros((2, DEPTH), object)
+        out = np.zeros((2, len(self.hit)), object)
         for r, cut in enumerate(self.cut):
             parts = [np.zeros((2, 0), np.uint8)]
             for s in np.flatnonzero(np.diff(cut)).tolist():
@@ -59,7 +60,7 @@ class Estimates:
 
     def _all(self, hashes: np.ndarray, which: int) -> np.ndarray:
         out = np.ones(len(hashes), bool)
-        for r in range(DEPTH):
+        for r in range(len(self.of.hit)):
             out &= self.flags[which, r][np.searchsorted(self.of.hit[r][0], self.of.cells(hashes, r))]
         return out
 
@@ -91,16 +92,17 @@ class Sketch:
     """A merged sketch of all chunks. ``hashes`` lists those of one chunk, one for each ``spacing`` bytes or fewer;
     ``told`` is what each chunk learns, for ``gather`` and ``finish``, and ``estimates`` reads it."""
 
-    def __init__(self, chunks: Chunks, hashes: Callable[[pa.RecordBatch], np.ndarray], hot: int, spacing: int) -> None:
+    def __init__(self, chunks: Chunks, hashes: Callable[[pa.RecordBatch], np.ndarray], hot: int, spacing: int, depth: int = DEPTH) -> None:
+        self.depth = depth
         self.bits = bits = max(16, (CELLS * chunks.size // spacing).bit_length())
         self.shards = shards = max(1, -(-chunks.size // SHARD))
 
         def ask(batch: pa.RecordBatch, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-            return Cells(hashes(batch), bits, shards).ask()
+            return Cells(hashes(batch), bits, shards, depth).ask()
 
-        self.told: DataFrame = materialize(gather(chunks, DEPTH * shards, TEAM, ask, lambda e: merge(e, hot)))
+        self.told: DataFrame = materialize(gather(chunks, depth * shards, TEAM, ask, lambda e: merge(e, hot)))
 
     def reader(self) -> Callable[[np.ndarray, dict[int, bytes]], Estimates]:
         """Estimates of a chunk's hashes, all of them given, from what it was told."""
-        bits, shards = self.bits, self.shards
-        return lambda hashes, told: Cells(hashes, bits, shards).told(told)
+        bits, shards, depth = self.bits, self.shards, self.depth
+        return lambda hashes, told: Cells(hashes, bits, shards, depth).told(told)

@@ -42,7 +42,8 @@ def _scan(batch: pa.RecordBatch, text: str, window: int, gram: int):
 
 
 def _anchors(blocks) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *(x[7] for x in blocks)])
+    # anchors are least hashes, all small: mixed again before they are counted
+    return tb.mix(np.concatenate([np.zeros(0, np.uint64), *(x[7] for x in blocks)]))
 
 
 def _candidates(batch: pa.RecordBatch, text: str, window: int, gram: int, estimates, told: dict[int, bytes]) -> tuple[windows.Local, list[np.ndarray]]:
@@ -51,7 +52,7 @@ def _candidates(batch: pa.RecordBatch, text: str, window: int, gram: int, estima
     blocks = list(_scan(batch, text, window, gram))
     seen = estimates(_anchors(blocks), told)
     for _, data, _, starts, ends, _, h, anchor, begin, count in blocks:
-        keep = seen.twice(anchor)
+        keep = seen.twice(tb.mix(anchor))
         b, n = begin[keep], count[keep]
         s = np.repeat(b - (np.cumsum(n) - n), n) + np.arange(n.sum())
         at.append(s)

@@ -72,14 +72,16 @@ def _runs(data: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np
 
 
 def _anchors(batch: pa.RecordBatch, text: str, window: int, gram: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint64), *(_runs(data, off, window, gram)[0] for _, data, off in sub_blocks(batch, text, BLOCK))])
+    # anchors are least hashes, all small: mixed again before they are counted or spread
+    return tb.mix(np.concatenate([np.zeros(0, np.uint64), *(_runs(data, off, window, gram)[0] for _, data, off in sub_blocks(batch, text, BLOCK))]))
 
 
 def _blocks(batch: pa.RecordBatch, text: str, window: int, gram: int, shards: int, estimates, told: dict[int, bytes]) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
     """Blocks with the two hashes of their hot windows."""
     blocks = [(data, off, *_runs(data, off, window, gram)) for _, data, off in sub_blocks(batch, text, BLOCK)]
-    seen = estimates(np.concatenate([np.zeros(0, np.uint64), *(b[2] for b in blocks)]), told)
+    seen = estimates(tb.mix(np.concatenate([np.zeros(0, np.uint64), *(b[2] for b in blocks)])), told)
     for data, off, anchor, begin, count, rolling in blocks:
+        anchor = tb.mix(anchor)
         keep = seen.twice(anchor)
         hot = keep & seen.hot(anchor)
         h = spread(begin[hot], count[hot])
@@ -87,8 +89,7 @@ def _blocks(batch: pa.RecordBatch, text: str, window: int, gram: int, shards: in
         two = (tb.Rolling(tb.byte_values(data, 4), 4).windows(window)[h] >> np.uint64(32)).astype(np.uint32) if len(h) else np.zeros(0, np.uint32)
         keep &= ~hot
         anchor, begin, count = anchor[keep], begin[keep], count[keep]
-        # anchors are least hashes, all small: mixed again before they are spread
-        where = ((tb.mix(anchor) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        where = ((anchor >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
         key = rolling.spans(begin, begin + count + window - 1)
         _, at, of, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(where[at], kind="stable")

@@ -19,8 +19,9 @@ pairs of distinct sets with fingerprints at most CANDIDATE_RADIUS bits apart: of
 fingerprint has at most PART_RADIUS, so a covering family on each part separates no such pair. A bucket's rows come
 sorted by size of set and meet only those whose size allows the similarity. Each candidate is then decided by its sets:
 first by counts of the hashes in 256 classes, which bound the difference from below, and what is left by the sets.
-A first round takes FIRST candidates of each row of a bucket, so that large groups of near copies give no squares of pairs,
-and names the sets of those left out; a second round takes every candidate among these that the first has not joined.
+A first round takes one candidate of each row of a bucket (FIRST), so that large groups of near copies give no squares of pairs,
+and names the sets of those left out; a second round looks at every pair among these that the first has not joined, and
+passes on those whose counts in classes allow the similarity: not the squares of a group that is alike but not similar.
 Documents are at most shuffled to fetch the sets of candidates, and not even that where those are few.
 """
 
@@ -44,7 +45,7 @@ CANDIDATE_RADIUS = 14
 PART_RADIUS = 4
 PARTS = ((0, 21), (21, 21), (42, 22))  # first bit and bits
 SIMILARITY = (4, 5)
-FIRST = 3  # candidates of a row of a bucket in the first round
+FIRST = 1  # candidates of a row of a bucket in the first round
 FEW = 200_000  # row keys, of under 100 bytes, that are broadcast at most
 ONES = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
 
@@ -262,47 +263,64 @@ def near_pairs(t: np.ndarray, n: np.ndarray, fp: np.ndarray, start: int) -> Iter
 
 
 def candidates(prints: DataFrame, most: int | None = None) -> DataFrame:
-    """Pairs (a, b) of sets s whose fingerprints fp and sizes n allow the similarity and whose groups r (if there is such a
-    column) differ. With ``most``: of each row of a bucket at most so many, and (a, a) for each set of a pair left out."""
+    """Pairs (a, b) of sets s whose fingerprints fp and sizes n allow the similarity. With ``most``, of each row of a bucket at
+    most so many, and ``left``: 1 where a has pairs left out, 2 where b has, 3 for both; a = b where a set has only such.
+    Without, all pairs of sets whose groups r differ and whose counts in ``classes`` allow the similarity."""
     low, high = SIMILARITY
-    grouped = "r" in prints.columns
+    more = [] if most is not None else ["r", "classes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by bucket and size; what is held is the part of the last bucket that later rows can match
         masks = np.array(part_masks(), np.uint64)
-        held = (np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3 + grouped)))
+        held = (np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(4 if more else 3)), *([np.zeros((0, 256), np.uint8)] if more else []))
         for batch in batches:
-            start = len(held[0])
-            held = tuple(np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
-            t, n, fp, s, r = held if grouped else (*held, held[3])
-            fp = fp.view(np.uint64)
-            a, b, given, left = [s[:0]], [s[:0]], np.zeros(len(s), np.int64), np.zeros(len(s), bool)
-            for x, y in near_pairs(t, n, fp, start):
-                new = r[x] != r[y]
-                x, y = x[new], y[new]
-                if most is not None:
-                    order = np.argsort(y, kind="stable")
-                    x, y = x[order], y[order]
-                    begin = np.searchsorted(y, y)
-                    keep = given[y] + np.arange(len(y)) - begin < most
-                    np.add.at(given, y, 1)
-                    left[x[~keep]] = left[y[~keep]] = True
-                    x, y = x[keep], y[keep]
-                a.append(s[x])
-                b.append(s[y])
-                if sum(map(len, a)) > 1 << 16:
-                    yield pa.record_batch([np.concatenate(a), np.concatenate(b)], ["a", "b"])
-                    a, b = [s[:0]], [s[:0]]
-            yield pa.record_batch([np.concatenate([*a, s[left]]), np.concatenate([*b, s[left]])], ["a", "b"])
+            start, columns = len(held[0]), [c.to_numpy(zero_copy_only=False) for c in batch.columns[: 5 if more else 4]]
+            if more:
+                columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, 256))
+            held = tuple(np.concatenate([h, c]) for h, c in zip(held, columns, strict=True))
+            t, n, fp, s = held[0], held[1], held[2].view(np.uint64), held[3]
+            pairs = near_pairs(t, n, fp, start)
+            yield from _differing(pairs, n, s, held[4], held[5]) if more else [_limited(pairs, s, most)]
             if len(t):
                 last = (t == t[-1]) & (fp & masks[t] == fp[-1] & masks[t[-1]]) & (n * high >= n[-1] * low)
                 held = tuple(x[last] for x in held)
 
     masks = part_masks()
     # sets of fewer shingles than this are similar to themselves alone
-    rows = prints.where(F.col("n") * (high - low) >= low).select(F.explode(F.array(*map(F.lit, range(len(masks))))).alias("t"), "n", "fp", "s", *["r"][: int(grouped)])
+    rows = prints.where(F.col("n") * (high - low) >= low).select(F.explode(F.array(*map(F.lit, range(len(masks))))).alias("t"), "n", "fp", "s", *more)
     key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(int(np.int64(np.uint64(m)))) for m in masks]), F.col("t") + 1))
-    return rows.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, F.col("n")).mapInArrow(run, "a long, b long")
+    return rows.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, F.col("n")).mapInArrow(run, "a long, b long" if more else "a long, b long, left int")
+
+
+def _limited(pairs: Iterator[tuple[np.ndarray, np.ndarray]], s: np.ndarray, most: int) -> pa.RecordBatch:
+    """The first ``most`` pairs of each row, and which rows have more."""
+    given, left, a, b = np.zeros(len(s), np.int64), np.zeros(len(s), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, y in pairs:
+        order = np.argsort(y, kind="stable")
+        x, y = x[order], y[order]
+        keep = given[y] + np.arange(len(y)) - np.searchsorted(y, y) < most
+        np.add.at(given, y, 1)
+        left[x[~keep]] = left[y[~keep]] = True
+        a.append(x[keep])
+        b.append(y[keep])
+    a, b, alone = np.concatenate(a), np.concatenate(b), left.copy()
+    alone[a] = alone[b] = False
+    alone = np.flatnonzero(alone)
+    a, b = np.r_[a, alone], np.r_[b, alone]
+    return pa.record_batch([pa.array(s[a]), pa.array(s[b]), pa.array((left[a] + 2 * left[b]).astype(np.int32))], ["a", "b", "left"])
+
+
+def _differing(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: np.ndarray, s: np.ndarray, r: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pairs of different groups that can be similar by their counts in classes."""
+    low, high = SIMILARITY
+    for x, y in pairs:
+        other = r[x] != r[y]
+        x, y = x[other], y[other]
+        differ = np.abs(classes[x].astype(np.int16) - classes[y]).sum(1)
+        both = n[x] + n[y]
+        fits = (both - differ) * (low + high) >= 2 * low * both
+        if fits.any():
+            yield pa.record_batch([pa.array(s[x[fits]]), pa.array(s[y[fits]])], ["a", "b"])
 
 
 def shingle_sets(docs: DataFrame, keep: str, whole: bool) -> DataFrame:
@@ -362,11 +380,11 @@ def similar_links(docs: DataFrame, key: str, nodes: DataFrame, prints: DataFrame
     distinct set s with n, classes and least, the ``key`` of a row of ``docs`` that has it; ``prints``: s, fp and n, several
     fp of a set whose texts repeat shingles differently."""
     met = materialize(candidates(prints, FIRST))
-    first = materialize(_verified(docs, key, nodes, met.where("a != b")))
-    open_ = met.where("a = b").select(F.col("a").alias("s")).distinct()
+    first = materialize(_verified(docs, key, nodes, met.where("a != b").select("a", "b")))
+    open_ = met.where("left % 2 = 1").select(F.col("a").alias("s")).unionAll(met.where("left >= 2").select(F.col("b").alias("s"))).distinct()
     joined = components(first).select(F.col("node").alias("s"), "root")
-    rest = prints.join(open_, "s", "left_semi").join(joined, "s", "left").select("s", "fp", "n", F.coalesce("root", "s").alias("r"))
-    return first.unionAll(_verified(docs, key, nodes, candidates(rest)))
+    rest = prints.join(open_, "s", "left_semi").join(joined, "s", "left").join(nodes.select("s", "classes"), "s")
+    return first.unionAll(_verified(docs, key, nodes, candidates(rest.select("s", "fp", "n", F.coalesce("root", "s").alias("r"), "classes"))))
 
 
 def _verified(docs: DataFrame, key: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:

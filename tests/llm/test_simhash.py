@@ -161,13 +161,17 @@ def test_large_groups_give_no_squares_of_pairs(spark):
         fp = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
         rows.append((k, int(np.int64(np.uint64(fp))), 100))
     df = spark.createDataFrame(rows, "s long, fp long, n long")
-    got = {(r.a, r.b) for r in simhash.candidates(df, 2).collect()}
-    pairs, left = {frozenset(p) for p in got if p[0] != p[1]}, {a for a, b in got if a == b}
+    got = simhash.candidates(df, 2).collect()
+    pairs = {frozenset((r.a, r.b)) for r in got if r.a != r.b}
+    left = {x for r in got for x, bit in ((r.a, 1), (r.b, 2)) if r.left & bit}
     every = {frozenset(p) for p in itertools.combinations(range(400), 2)}
-    assert len(pairs) < 400 * 2 * 30 and {y for p in pairs for y in p} == set(range(400))
+    assert len(got) < 400 * 2 * 30 and {y for p in pairs for y in p} == set(range(400))
     assert all(p <= left for p in every - pairs)
-    assert {frozenset((r.a, r.b)) for r in simhash.candidates(df).collect()} == every
-    assert simhash.candidates(df.selectExpr("s", "fp", "n", "0L as r")).count() == 0
+    rest = df.selectExpr("s", "fp", "n", "s as r", "cast(repeat('a', 256) as binary) as classes")
+    assert {frozenset((r.a, r.b)) for r in simhash.candidates(rest).collect()} == every
+    assert simhash.candidates(rest.selectExpr("s", "fp", "n", "0L as r", "classes")).count() == 0
+    unlike = rest.selectExpr("s", "fp", "n", "r", "cast(concat(repeat('a', cast(s % 2 as int) * 128), repeat('b', 128), repeat('a', 128 - cast(s % 2 as int) * 128)) as binary) as classes")
+    assert {frozenset((r.a, r.b)) for r in simhash.candidates(unlike).collect()} == {p for p in every if len({x % 2 for x in p}) == 1}
 
 
 def test_second_round_joins_what_the_first_leaves_out(spark, monkeypatch):

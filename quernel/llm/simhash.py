@@ -19,9 +19,10 @@ pairs of distinct sets with fingerprints at most CANDIDATE_RADIUS bits apart: of
 fingerprint has at most PART_RADIUS, so a covering family on each part separates no such pair. A bucket's rows come
 sorted by size of set and meet only those whose size allows the similarity. Each candidate is then decided by its sets:
 first by counts of the hashes in 256 classes, which bound the difference from below, and what is left by the sets.
-A first round takes one candidate of each row of a bucket (FIRST), so that large groups of near copies give no squares of pairs,
-and names the sets of those left out; a second round looks at every pair among these that the first has not joined, and
-passes on those whose counts in classes allow the similarity: not the squares of a group that is alike but not similar.
+A first round takes one candidate of each row of a bucket (FIRST) and names the sets with others left out. A second round
+looks again at every pair among these, and takes for each row one of those that the counts in classes allow, which are as a
+rule similar: it joins what belongs together. A third takes every such pair that is not joined yet. So no large group of
+near copies gives the square of its size in pairs, and no pair is missed.
 Documents are at most shuffled to fetch the sets of candidates, and not even that where those are few.
 """
 
@@ -263,11 +264,11 @@ def near_pairs(t: np.ndarray, n: np.ndarray, fp: np.ndarray, start: int) -> Iter
 
 
 def candidates(prints: DataFrame, most: int | None = None) -> DataFrame:
-    """Pairs (a, b) of sets s whose fingerprints fp and sizes n allow the similarity. With ``most``, of each row of a bucket at
-    most so many, and ``left``: 1 where a has pairs left out, 2 where b has, 3 for both; a = b where a set has only such.
-    Without, all pairs of sets whose groups r differ and whose counts in ``classes`` allow the similarity."""
+    """Rows (a, b, left): pairs of sets s whose fingerprints fp and sizes n allow the similarity, and, if ``prints`` has these
+    columns, whose groups r differ and whose counts in ``classes`` allow it. With ``most``, of each row of a bucket at most so
+    many; ``left`` is 1 where a has pairs left out, 2 where b has, 3 for both, and a = b where a set has only such."""
     low, high = SIMILARITY
-    more = [] if most is not None else ["r", "classes"]
+    more = [c for c in ("r", "classes") if c in prints.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by bucket and size; what is held is the part of the last bucket that later rows can match
@@ -280,7 +281,9 @@ def candidates(prints: DataFrame, most: int | None = None) -> DataFrame:
             held = tuple(np.concatenate([h, c]) for h, c in zip(held, columns, strict=True))
             t, n, fp, s = held[0], held[1], held[2].view(np.uint64), held[3]
             pairs = near_pairs(t, n, fp, start)
-            yield from _differing(pairs, n, s, held[4], held[5]) if more else [_limited(pairs, s, most)]
+            if more:
+                pairs = _differing(pairs, n, held[4], held[5])
+            yield from _pairs(pairs, s) if most is None else [_limited(pairs, s, most)]
             if len(t):
                 last = (t == t[-1]) & (fp & masks[t] == fp[-1] & masks[t[-1]]) & (n * high >= n[-1] * low)
                 held = tuple(x[last] for x in held)
@@ -289,7 +292,12 @@ def candidates(prints: DataFrame, most: int | None = None) -> DataFrame:
     # sets of fewer shingles than this are similar to themselves alone
     rows = prints.where(F.col("n") * (high - low) >= low).select(F.explode(F.array(*map(F.lit, range(len(masks))))).alias("t"), "n", "fp", "s", *more)
     key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(int(np.int64(np.uint64(m)))) for m in masks]), F.col("t") + 1))
-    return rows.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, F.col("n")).mapInArrow(run, "a long, b long" if more else "a long, b long, left int")
+    return rows.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, F.col("n")).mapInArrow(run, "a long, b long, left int")
+
+
+def _pairs(pairs: Iterator[tuple[np.ndarray, np.ndarray]], s: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for x, y in pairs:
+        yield pa.record_batch([pa.array(s[x]), pa.array(s[y]), pa.array(np.zeros(len(x), np.int32))], ["a", "b", "left"])
 
 
 def _limited(pairs: Iterator[tuple[np.ndarray, np.ndarray]], s: np.ndarray, most: int) -> pa.RecordBatch:
@@ -310,7 +318,7 @@ def _limited(pairs: Iterator[tuple[np.ndarray, np.ndarray]], s: np.ndarray, most
     return pa.record_batch([pa.array(s[a]), pa.array(s[b]), pa.array((left[a] + 2 * left[b]).astype(np.int32))], ["a", "b", "left"])
 
 
-def _differing(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: np.ndarray, s: np.ndarray, r: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _differing(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: np.ndarray, r: np.ndarray, classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of different groups that can be similar by their counts in classes."""
     low, high = SIMILARITY
     for x, y in pairs:
@@ -319,8 +327,7 @@ def _differing(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: np.ndarray, s:
         differ = np.abs(classes[x].astype(np.int16) - classes[y]).sum(1)
         both = n[x] + n[y]
         fits = (both - differ) * (low + high) >= 2 * low * both
-        if fits.any():
-            yield pa.record_batch([pa.array(s[x[fits]]), pa.array(s[y[fits]])], ["a", "b"])
+        yield x[fits], y[fits]
 
 
 def shingle_sets(docs: DataFrame, keep: str, whole: bool) -> DataFrame:
@@ -380,18 +387,26 @@ def similar_links(docs: DataFrame, key: str, nodes: DataFrame, prints: DataFrame
     distinct set s with n, classes and least, the ``key`` of a row of ``docs`` that has it; ``prints``: s, fp and n, several
     fp of a set whose texts repeat shingles differently."""
     met = materialize(candidates(prints, FIRST))
-    first = materialize(_verified(docs, key, nodes, met.where("a != b").select("a", "b")))
-    open_ = met.where("left % 2 = 1").select(F.col("a").alias("s")).unionAll(met.where("left >= 2").select(F.col("b").alias("s"))).distinct()
-    joined = components(first).select(F.col("node").alias("s"), "root")
-    rest = prints.join(open_, "s", "left_semi").join(joined, "s", "left").join(nodes.select("s", "classes"), "s")
-    return first.unionAll(_verified(docs, key, nodes, candidates(rest.select("s", "fp", "n", F.coalesce("root", "s").alias("r"), "classes"))))
+    # a pair of two sets with pairs left out comes again in the second round
+    links = materialize(_verified(docs, key, nodes, _possible(nodes, met.where("a != b and left != 3"))))
+    for most in (FIRST, None):
+        open_ = met.where("left % 2 = 1").select(F.col("a").alias("s")).unionAll(met.where("left >= 2").select(F.col("b").alias("s"))).distinct()
+        joined = components(links).select(F.col("node").alias("s"), "root")
+        rest = prints.join(open_, "s", "left_semi").join(joined, "s", "left").join(nodes.select("s", "classes"), "s")
+        met = materialize(candidates(rest.select("s", "fp", "n", F.coalesce("root", "s").alias("r"), "classes"), most))
+        links = materialize(links.unionAll(_verified(docs, key, nodes, met.where("a != b"))))
+    return links
+
+
+def _possible(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that can be similar by their counts in classes."""
+    own = [nodes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("classes").alias(f"c{x}")) for x in "ab"]
+    return _where(pairs.select("a", "b").join(own[0], "a").join(own[1], "b").select("a", "b", "na", "nb", "ca", "cb"), possible)
 
 
 def _verified(docs: DataFrame, key: str, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs at SIMILARITY or more."""
-    own = [nodes.select(F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("classes").alias(f"c{x}")) for x in "ab"]
-    met = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(own[0], "a").join(own[1], "b").select("a", "b", "na", "nb", "ca", "cb")
-    met = materialize(_where(met, possible))
+    met = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     needed = met.select(F.col("a").alias("s")).unionAll(met.select(F.col("b").alias("s"))).distinct()
     chosen = materialize(nodes.join(needed, "s", "left_semi").select(F.col("least").alias(key)))
     if chosen.limit(FEW + 1).count() <= FEW:  # documents need no shuffle then

@@ -158,6 +158,7 @@ def gather(chunks: Chunks, shards: int, per_row: int, ask: Callable[[pa.RecordBa
             asked = by_shard.pop(s)
             for (i, _), b in zip(asked, combine([b for _, b in asked]), strict=True):
                 out[i].append((s, b))
+        tb.release()
         return pa.table([group.column("chunk"), pa.array([bundle(x) for x in out], pa.binary())], names[1:])
 
     kinds = "team int, chunk long, entries binary"

@@ -6,6 +6,7 @@ maximal runs of bytes other than 0x20 and 0x09-0x0D; no word, window or gram cro
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,18 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 U64 = np.uint64
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers outlive their tasks, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -41,6 +54,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
             yield batch.slice(at, end - at), data[off[at] : off[end]], off[at : end + 1] - off[at]
             at = end
+        del batch, data, off
+        release()
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,19 +91,25 @@ def _base(seed: int) -> tuple[int, int, np.ndarray]:
     return p, pow(p, -1, 1 << 64), r.integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+STEP = 1 << 12  # powers kept for each multiplier
+
+
+@lru_cache(maxsize=16)
+def _first_powers(seed: int, inverse: bool) -> np.ndarray:
+    have = np.ones(STEP + 1, U64)
+    have[1:] = U64(_base(seed)[1 if inverse else 0])
+    return np.multiply.accumulate(have)
 
 
 def powers(seed: int, n: int, inverse: bool = False) -> np.ndarray:
-    """The first ``n`` powers of the odd multiplier of ``seed``, or of its inverse modulo 2**64."""
-    have = _powers.get((seed, inverse))
-    if have is None or len(have) < n:
-        p = _base(seed)[1 if inverse else 0]
-        size = max(1 << 16, 1 << (max(n, 1) - 1).bit_length())
-        have = np.ones(size, U64)
-        have[1:] = U64(p)
-        _powers[seed, inverse] = have = np.multiply.accumulate(have)
-    return have[:n]
+    """The first ``n`` powers of the odd multiplier of ``seed``, or of its inverse modulo 2**64. Made anew from a short
+    table, so that a worker keeps nothing as long as the longest text it saw."""
+    have = _first_powers(seed, inverse)
+    if n <= STEP:
+        return have[:n]
+    steps = np.ones(-(-n // STEP), U64)
+    steps[1:] = have[STEP]
+    return (np.multiply.accumulate(steps)[:, None] * have[:STEP]).ravel()[:n]
 
 
 class Rolling:

@@ -150,8 +150,8 @@ def gather(chunks: Chunks, shards: int, per_row: int, ask: Callable[[pa.RecordBa
 
     def meet(group: pa.Table) -> pa.Table:
         by_shard: dict[int, list[tuple[int, bytes]]] = {}
-        for i, e in enumerate(group.column("entries").to_pylist()):
-            for s, b in unbundle(e):
+        for i, e in enumerate(group.column("entries")):
+            for s, b in unbundle(e.as_py()):
                 by_shard.setdefault(s, []).append((i, b))
         out: list[list[tuple[int, bytes]]] = [[] for _ in range(group.num_rows)]
         for s in sorted(by_shard):

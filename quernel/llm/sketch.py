@@ -19,7 +19,8 @@ from quernel.llm.shared import materialize
 
 DEPTH, CELLS = 2, 8
 SPREAD = (1, 0xC2B2AE3D27D4EB4F)  # a row's multiplier; sorted hashes have sorted cells in the first row, which is fast to search
-SHARD = 1 << 25  # bytes of text whose cells a shard gets, about
+SHARD = 1 << 25  # bytes of text whose cells a shard gets, at most, about
+HASHES = 1 << 21  # of a shard, at most, about: what bounds its memory
 TEAM = 4  # shards that travel together
 
 
@@ -95,7 +96,7 @@ class Sketch:
     def __init__(self, chunks: Chunks, hashes: Callable[[pa.RecordBatch], np.ndarray], hot: int, spacing: int, depth: int = DEPTH) -> None:
         self.depth = depth
         self.bits = bits = max(16, (CELLS * chunks.size // spacing).bit_length())
-        self.shards = shards = max(1, -(-chunks.size // SHARD))
+        self.shards = shards = max(1, -(-chunks.size // min(SHARD, spacing * HASHES)))
 
         def ask(batch: pa.RecordBatch, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
             return Cells(hashes(batch), bits, shards, depth).ask()
